@@ -39,12 +39,12 @@ def running_total(
 ) -> DataFrame:
     """``into`` = sum of ``value`` over all rows up to this one in ``order`` (a total order).
 
-    ``df`` is an aggregated table. Up to ``single_task_rows`` rows (checked) one task sums it;
-    a larger one is cut into ranges, summed per range and shifted by the sums before it.
+    ``df`` is an aggregated, stored table: its size is checked first. Up to
+    ``single_task_rows`` rows one task sums it; a larger one is cut into ranges, summed per
+    range and shifted by the sums before it.
     """
     frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = df.limit(single_task_rows + 1).count()
-    if size <= single_task_rows:
+    if df.count() <= single_task_rows:
         return df.withColumn(into, F.sum(value).over(frame))
     # The cut into ranges is stored before use, so both readers below see the same ranges.
     ranges = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))

@@ -44,8 +44,10 @@ class CatalogSpec:
     fields: tuple[str, ...] = ()
     id_pattern: str | None = None
     tag_pattern: str | None = None
+    upper_tags: bool = False  # a searched tag is folded to upper case first
     id_label: str = "record"
     tag_label: str = "tag"
+    status_label: str = "status"
     period_start: str | None = None
     period_end: str | None = None
     incomplete_years: frozenset[int] = frozenset()
@@ -154,8 +156,10 @@ VULNERABILITY_FEED = CatalogSpec(
     positive_status="Known",
     id_pattern=r"CVE-[0-9]{4}-[0-9]{4,19}",
     tag_pattern=r"CWE-[0-9]+",
+    upper_tags=True,
     id_label="cve",
     tag_label="cwe",
+    status_label="ransomware",
 )
 
 # The dated snapshot whose counts are known in advance.
