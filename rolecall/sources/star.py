@@ -37,24 +37,10 @@ LINES = CatalogSpec(
     id_pattern=r"[0-9]+-[0-9]+",
     id_label="line",
 )
-PARTS = CatalogSpec(
-    id="p_partkey",
-    vendor="p_brand",
-    product="p_type",
-    opened="p_opened",
-    status="p_status",
-    status_domain=("small", "large"),
-    positive_status="large",
-    tags="words",
-    tag_pattern=r"[a-z]+",
-    id_label="part",
-    tag_label="word",
-)
 DOCUMENTS = CatalogSpec(
     id="doc_id",
     vendor="source",
     product="lang",
-    title="title",
     description="text",
     opened="opened",
     status="status",
@@ -175,18 +161,14 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents_catalog(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+def documents_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; status Known when labelled toxic, Unknown otherwise."""
-    docs = table(spark, sf_dir, "documents")
-    if lang:
-        docs = docs.filter(F.col("lang") == lang)
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents")
     return docs.join(toxic.withColumn("_toxic", F.lit(1)), "doc_id", "left").select(
         "doc_id",
-        F.lit("").alias("title"),
-        F.col("text"),
+        "text",
         F.col("source").alias(VENDOR),
-        "lang",
         F.when(F.col("_toxic") == 1, "Known").otherwise("Unknown").alias("status"),
     )
 
@@ -199,3 +181,34 @@ def events_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias(PRODUCT),
         F.col("ts").cast("date").alias("opened"),
     )
+
+
+# Orders as records of an envelope: every cell is text, as in a JSON feed.
+ENVELOPED = CatalogSpec(
+    id="o_orderkey",
+    vendor="o_custkey",
+    product="o_orderpriority",
+    opened="o_orderdate",
+    status="o_orderstatus",
+    status_domain=("F", "O", "P"),
+    positive_status="F",
+    id_label="order",
+)
+
+
+def order_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, doc VARIANT): one envelope document per order, built where the row lies."""
+    text = {"o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd")}
+    record = F.struct(
+        *[text.get(f, F.col(f)).cast("string").alias(f) for f in ENVELOPED.raw_fields]
+    )
+    envelope = F.struct(
+        F.lit("orders").alias("title"),
+        F.lit("1").alias("catalogVersion"),
+        text["o_orderdate"].alias("dateReleased"),
+        F.lit(1).cast("bigint").alias("count"),
+        F.array(record).alias("vulnerabilities"),
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("source_file"), F.parse_json(F.to_json(envelope)).alias("doc")
+    )

@@ -48,6 +48,7 @@ class CatalogSpec:
     id_label: str = "record"
     tag_label: str = "tag"
     status_label: str = "status"
+    name: str = "catalog"
     period_start: str | None = None
     period_end: str | None = None
     incomplete_years: frozenset[int] = frozenset()
@@ -160,6 +161,7 @@ VULNERABILITY_FEED = CatalogSpec(
     id_label="cve",
     tag_label="cwe",
     status_label="ransomware",
+    name="kev",
 )
 
 # The dated snapshot whose counts are known in advance.
