@@ -146,9 +146,8 @@ def _term_stats(spark, sf):
 def _clusters(part, candidate_k=(4,), n_init=1):
     def query(spark, sf):
         docs = star.documents_catalog(spark, sf)
-        return getattr(
-            textcluster.analyze(docs, DOCS, candidate_k=candidate_k, n_init=n_init), part
-        )
+        result = textcluster.analyze(docs, DOCS, candidate_k=candidate_k, n_init=n_init)
+        return result.projection() if part == "projection" else getattr(result, part)
 
     return query
 
