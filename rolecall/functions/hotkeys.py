@@ -16,17 +16,28 @@ SINGLE_TASK_ROWS = 1_000_000
 
 
 def keep_members(rows: DataFrame, groups: DataFrame, key: str, size: str = "n") -> DataFrame:
-    """Rows whose key occurs in ``groups(key, size)``; one row per key in ``groups``.
+    """Rows whose key occurs in ``groups(key, size)``, which has one row per key.
 
-    Hot keys are matched map-side against a bounded broadcast and never shuffled. The others
-    meet in a shuffle join whose largest group is at most 1/MAX_HOT of the grouped rows.
+    ``rows`` holds no null keys and no frequent key outside ``groups``. Hot keys are found
+    map-side against a bounded broadcast; their rows get the partition they come from as a
+    salt, so they spread over the shuffle. The largest group left is 1/MAX_HOT of the rows.
+    The salt is the same when a task is repeated, so a lost executor changes nothing.
     """
     total = groups.agg(F.sum(size)).scalar()
     is_hot = F.col(size) * MAX_HOT > total
-    hot = F.broadcast(groups.filter(is_hot).select(key))
-    cold = groups.filter(~is_hot).select(key)
-    return rows.join(hot, key, "left_semi").unionByName(
-        rows.join(hot, key, "left_anti").join(cold, key, "left_semi")
+    hot = groups.filter(is_hot).select(key, F.lit(True).alias("_hot"))
+    # The salt is mixed with the key: a bare constant on one side would be folded away and
+    # the rows shuffled by key alone.
+    cold = groups.filter(~is_hot).select(
+        key, F.xxhash64(key, F.lit(0)).alias("_spread"), F.lit(True).alias("_cold")
+    )
+    salt = F.when(F.col("_hot"), F.spark_partition_id() + 1).otherwise(0)
+    return (
+        rows.join(F.broadcast(hot), key, "left")
+        .withColumn("_spread", F.xxhash64(key, salt))
+        .join(cold, [key, "_spread"], "left")
+        .filter(F.col("_hot") | F.col("_cold"))
+        .select(*rows.columns)
     )
 
 

@@ -135,10 +135,16 @@ def id_groups(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     )
 
 
+def named_rows(df: DataFrame, spec: CatalogSpec) -> DataFrame:
+    """Rows with an id; blank ids have a rule of their own and are never grouped."""
+    return df.filter(F.col(spec.id).isNotNull() & ~is_blank(df, spec.id))
+
+
 def repeated_ids(df: DataFrame, spec: CatalogSpec) -> DataFrame:
-    """(id, n) of ids that occur more than once; blank ids are reported by their own rule."""
-    groups = id_groups(df, spec)
-    return groups.filter(F.col(spec.id).isNotNull() & (F.col("n") > 1) & (F.col("blank") == 0))
+    """(id, n) of ids that occur more than once."""
+    return (
+        named_rows(df, spec).groupBy(spec.id).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    )
 
 
 def _position(df: DataFrame) -> Column:
@@ -171,7 +177,7 @@ def row_issues(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 
 def repeat_issues(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     """Every copy of a repeated id. Only id and position are moved; a hot id is matched in place."""
-    slim = df.select(_position(df), F.col(spec.id))
+    slim = named_rows(df, spec).select(_position(df), F.col(spec.id))
     members = keep_members(slim, repeated_ids(df, spec), spec.id)
     return members.select(
         "row_index",
@@ -314,7 +320,7 @@ def severity_rank() -> Column:
 
 
 def issues(df: DataFrame, spec: CatalogSpec, summary: DataFrame | None = None) -> DataFrame:
-    """Every issue with severity and message, most severe first, then by code and row."""
+    """Every issue with severity and message, in no particular order (see ``in_order``)."""
     has_id = spec.id in df.columns
     parts = []
     if tuple(data_columns(df)) == spec.raw_fields:
@@ -328,7 +334,12 @@ def issues(df: DataFrame, spec: CatalogSpec, summary: DataFrame | None = None) -
     found = found.withColumn("severity", _lookup(F.col("issue_code"), 0)).withColumn(
         "message", _lookup(F.col("issue_code"), 2)
     )
-    return found.select(*issue_columns(spec)).orderBy(
+    return found.select(*issue_columns(spec))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Most severe first, then by code, row and field; issues without a row come last."""
+    return found.orderBy(
         severity_rank(), "issue_code", F.col("row_index").asc_nulls_last(), "field"
     )
 
@@ -367,11 +378,11 @@ def field_profile(df: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("empty"), F.col("n")).otherwise(0)).alias("empty_string_count"),
         F.count("value").alias("unique_count"),
     )
-    return profile.select(*PROFILE_COLUMNS).orderBy("field")
+    return profile.select(*PROFILE_COLUMNS).orderBy("field")  # one row per column
 
 
 def validate(
     df: DataFrame, spec: CatalogSpec, metadata: DataFrame | None = None
 ) -> QualityReport:
     summary = check_summary(df, spec, metadata)
-    return QualityReport(summary, issues(df, spec, summary), field_profile(df))
+    return QualityReport(summary, in_order(issues(df, spec, summary)), field_profile(df))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.errors import StatisticsInput, require_columns
@@ -26,17 +26,24 @@ def observed_months(df: DataFrame, opened: str) -> DataFrame:
     )
 
 
-def _first_day(label) -> F.Column:
+def _first_day(label) -> Column:
     return F.to_date(F.concat(label, F.lit("-01")), "yyyy-MM-dd")
 
 
-def monthly_counts(observed: DataFrame, start: str | None = None, end: str | None = None):
-    """Counts for every month from ``start`` to ``end`` (default: first and last seen), zeros included."""
+def monthly_counts(
+    observed: DataFrame, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Counts for every month from ``start`` to ``end``, zeros included.
+
+    The default is from the first to the last month seen. A month table has at most twelve
+    rows a year, so the spine and its join stay small.
+    """
     observed = observed.filter(F.col(MONTH).isNotNull())
     bounds = observed.agg(
         F.coalesce(F.lit(start), F.min(MONTH)).alias("first"),
         F.coalesce(F.lit(end), F.max(MONTH)).alias("last"),
-    ).filter("first IS NOT NULL")
+        F.sum("record_count").alias("total"),
+    ).filter("total > 0" if start is None or end is None else "true")
     months = F.sequence(_first_day("first"), _first_day("last"), F.expr("interval 1 month"))
     spine = bounds.select(F.explode(months).alias("_day")).select(
         month_label(F.col("_day")).alias(MONTH)
