@@ -80,10 +80,11 @@ class Conditions:
             parts.append(F.col(spec.status) == self.status)
         if self.tag:
             parts.append(F.array_contains(spec.tags, self.tag))
+        # A bare AND: each part can be pushed to the scan. Null counts as not met.
         met = F.lit(True)
         for part in parts:
             met = met & part
-        return F.coalesce(met, F.lit(False))
+        return met
 
 
 def conditions(criteria: Criteria, spec: CatalogSpec) -> Conditions:
