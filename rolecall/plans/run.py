@@ -69,8 +69,9 @@ def _ingest(spark: SparkSession, config: RunConfig, run_id: str):
         one_per_line = config.input_kind == "envelope_lines"
         read = envelope.read_envelope(spark, config.source, spec, one_per_line)
         metadata, raw = read.metadata, read.records
-    raw = envelope.land(raw, f"{checkpoint_root(spark)}/landed-{run_id}")
-    if config.input_kind == "envelope":
+    whole_documents = config.input_kind == "envelope"
+    raw = envelope.land(raw, f"{checkpoint_root(spark)}/landed-{run_id}", whole_documents)
+    if whole_documents:
         # One digest per file; a folder's digest is that of its sorted list of digests.
         files = source_digest(spark, config.source)
         listed = files.agg(F.array_join(F.array_sort(F.collect_list("sha256")), "\n").alias("d"),

@@ -188,8 +188,12 @@ def read_envelope(
     return Envelope(metadata(docs, spec), typed_records(flat, spec))
 
 
-def land(records: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
-    """Write the records once as Parquet, spread over tasks, and return the written table."""
-    spread = records.repartition(partitions) if partitions else records.repartition()
+def land(records: DataFrame, path: str, rebalance: bool = True) -> DataFrame:
+    """Write the records once as Parquet and return the written table.
+
+    ``rebalance`` spreads them over evenly sized files, which whole documents need because one
+    task holds all of a document's records. Line input is spread already.
+    """
+    spread = records.hint("rebalance") if rebalance else records
     spread.write.mode("overwrite").parquet(path)
     return records.sparkSession.read.schema(records.schema).parquet(path)

@@ -143,7 +143,7 @@ def test_many_documents_and_lines(spark, tmp_path):
 
 def test_land_and_parquet_index(spark, tmp_path):
     read = envelope.read_envelope(spark, write(tmp_path, document(as_records(SEARCH_ROWS))))
-    stored = envelope.land(read.records, str(tmp_path / "landed"), partitions=2)
+    stored = envelope.land(read.records, str(tmp_path / "landed"))
     assert sorted(stored.collect()) == sorted(read.records.collect())
     many = spark.createDataFrame(SEARCH_ROWS * 5, RAW_SCHEMA)
     many.repartition(4).write.parquet(str(tmp_path / "records"))
