@@ -156,9 +156,8 @@ def run_cases(
         any_met = any_met | column
     ids = F.array(*[F.when(column, F.lit(i)) for i, column in met.items()])
     # The OR goes ahead of the explode, so day ranges still reach the scan.
-    rows = df.filter(any_met).withColumn(
-        "case_id", F.explode(F.filter(ids, lambda i: i.isNotNull()))
-    )
+    rows = df.filter(any_met).withColumn("case_id", F.explode(ids))
+    rows = rows.filter(F.col("case_id").isNotNull())
     counted = rows.groupBy("case_id").agg(*summary_columns(spec))
     schema = "case_id int, " + ", ".join(f"{k} string" for k in CASE_KEYS[1:])
     stated = df.sparkSession.createDataFrame(

@@ -13,21 +13,20 @@ from rolecall.spec import DAYS, MISTYPED, MONTH, PRODUCT, ROW_INDEX, VENDOR, YEA
 SHOWN_ROWS = 20
 
 
-def _reject_reasons(df: DataFrame, spec: CatalogSpec) -> Column:
-    """The list of reasons a raw row cannot be prepared; empty for a good row."""
+def _faults(df: DataFrame, spec: CatalogSpec) -> list[tuple[Column, str]]:
+    """(condition, reason) pairs that keep a raw row from being prepared; never null."""
     rules = []
     if spec.tags:
-        rules.append(F.when(F.col(spec.tags).isNull(), F.lit(f"{spec.tags} is not a list")))
+        rules.append((F.col(spec.tags).isNull(), f"{spec.tags} is not a list"))
     for name in (spec.vendor, spec.product):
-        rules.append(F.when(F.col(name).isNull(), F.lit(f"{name} is not a string")))
+        rules.append((F.col(name).isNull(), f"{name} is not a string"))
     days = {name: day(df, name) for name in spec.date_fields}
     for name, value in days.items():
-        rules.append(F.when(value.isNull(), F.lit(f"{name} is not a date")))
+        rules.append((value.isNull(), f"{name} is not a date"))
     if spec.due:
-        rules.append(
-            F.when(days[spec.due] < days[spec.opened], F.lit(f"{spec.due} precedes {spec.opened}"))
-        )
-    return F.filter(F.array(*rules), lambda r: r.isNotNull())
+        reversed_ = F.coalesce(days[spec.due] < days[spec.opened], F.lit(False))
+        rules.append((reversed_, f"{spec.due} precedes {spec.opened}"))
+    return rules
 
 
 def _derive(df: DataFrame, spec: CatalogSpec) -> DataFrame:
@@ -61,8 +60,12 @@ def prepare(
     if mode not in ("quarantine", "fail"):
         raise ValueError("mode must be 'quarantine' or 'fail'")
     require_columns(df, spec.raw_fields, RecordMismatch, "prepare input")
-    reasons = _reject_reasons(df, spec)
-    rejected = df.withColumn("reject_reasons", reasons).filter(F.size("reject_reasons") > 0)
+    faults = _faults(df, spec)
+    any_fault = F.lit(False)
+    for condition, _ in faults:
+        any_fault = any_fault | condition
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(text)) for c, text in faults]))
+    rejected = df.filter(any_fault).withColumn("reject_reasons", reasons)
     if mode == "fail":
         place = ROW_INDEX if ROW_INDEX in df.columns else spec.id
         shown = rejected.select(place, "reject_reasons").limit(SHOWN_ROWS).collect()
@@ -71,4 +74,4 @@ def prepare(
                 "records cannot be prepared",
                 rows=[(r[0], list(r.reject_reasons)) for r in shown],
             )
-    return _derive(df.filter(F.size(reasons) == 0).drop(MISTYPED), spec), rejected
+    return _derive(df.filter(~any_fault).drop(MISTYPED), spec), rejected

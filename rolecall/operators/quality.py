@@ -14,7 +14,13 @@ from pyspark.sql import types as T
 
 from rolecall.functions.dates import day
 from rolecall.functions.hotkeys import keep_members
-from rolecall.functions.text import full_match, has_edge_whitespace, is_blank, is_empty_text
+from rolecall.functions.text import (
+    full_match,
+    has_edge_whitespace,
+    is_blank,
+    is_empty_text,
+    strip,
+)
 from rolecall.spec import BOOKKEEPING, MISTYPED, ROW_INDEX, CatalogSpec
 
 # Check codes and severities; names and messages are display text.
@@ -42,6 +48,7 @@ PROFILE_COLUMNS = [
     "unique_count",
 ]
 LONG_TEXT = 64  # longer values are compared by their SHA-256 digest instead of being shuffled
+BLANK_DIGEST = "blank-sha256:"
 
 
 @dataclass(frozen=True)
@@ -153,7 +160,10 @@ def _position(df: DataFrame) -> Column:
 
 
 def row_issues(df: DataFrame, spec: CatalogSpec) -> DataFrame:
-    """One row per broken rule and cell, from a single pass."""
+    """One row per broken rule and cell, from a single pass.
+
+    Null entries are dropped after the explode, so the rules stay in generated code.
+    """
     found = F.array(
         *[
             F.when(
@@ -167,11 +177,8 @@ def row_issues(df: DataFrame, spec: CatalogSpec) -> DataFrame:
             for r in row_rules(df, spec)
         ]
     )
-    exploded = df.select(
-        _position(df),
-        F.col(spec.id),
-        F.explode(F.filter(found, lambda i: i.isNotNull())).alias("i"),
-    )
+    exploded = df.select(_position(df), F.col(spec.id), F.explode(found).alias("i"))
+    exploded = exploded.filter(F.col("i").isNotNull())
     return exploded.select("row_index", spec.id, "i.issue_code", "i.field", "i.observed_value")
 
 
@@ -344,6 +351,17 @@ def in_order(found: DataFrame) -> DataFrame:
     )
 
 
+def _profile_key(df: DataFrame, name: str) -> Column:
+    """The cell as text; beyond LONG_TEXT its digest, which no shorter text can equal."""
+    kind = df.schema[name].dataType
+    text = F.to_json(name) if isinstance(kind, T.ArrayType) else F.col(name).cast("string")
+    if not isinstance(kind, (T.ArrayType, T.StringType)):
+        return text.alias(name)
+    mark = F.when(strip(text) == "", F.lit(BLANK_DIGEST)).otherwise(F.lit("sha256:"))
+    digest = F.concat(mark, F.sha2(text, 256))
+    return F.when(F.length(text) > LONG_TEXT, digest).otherwise(text).alias(name)
+
+
 def field_profile(df: DataFrame) -> DataFrame:
     """Per column: type, rows, nulls, whitespace-only strings and distinct values.
 
@@ -351,33 +369,26 @@ def field_profile(df: DataFrame) -> DataFrame:
     fills a third of a column is one partial row per task. Long text travels as its digest.
     """
     names = data_columns(df)
-    cells = []
-    for name in names:
-        kind = df.schema[name].dataType
-        text = F.to_json(name) if isinstance(kind, T.ArrayType) else F.col(name).cast("string")
-        key = F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(text, 256)))
-        empty = is_empty_text(F.col(name)) if isinstance(kind, T.StringType) else F.lit(False)
-        cells.append(
-            F.struct(
-                F.lit(name).alias("field"),
-                F.lit(kind.simpleString()).alias("dtype"),
-                F.coalesce(key, text).alias("value"),
-                empty.alias("empty"),
-            )
-        )
+    kinds = {n: df.schema[n].dataType for n in names}
     values = (
-        df.select(F.explode(F.array(*cells)).alias("c"))
-        .select("c.*")
-        .groupBy("field", "dtype", "value", "empty")
+        df.select(*[_profile_key(df, n) for n in names])
+        .unpivot([], names, "field", "value")
+        .groupBy("field", "value")
         .agg(F.count("*").alias("n"))
     )
-    profile = values.groupBy("field", "dtype").agg(
+    texts = [n for n in names if isinstance(kinds[n], T.StringType)]
+    blank = is_empty_text(F.col("value")) | F.startswith("value", F.lit(BLANK_DIGEST))
+    empty = F.col("field").isin(*texts) & blank
+    known = F.col("value").isNotNull()
+    profile = values.groupBy("field").agg(
         F.sum("n").alias("row_count"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null_count"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
-        F.sum(F.when(F.col("empty"), F.col("n")).otherwise(0)).alias("empty_string_count"),
+        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("non_null_count"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("null_count"),
+        F.sum(F.when(empty, F.col("n")).otherwise(0)).alias("empty_string_count"),
         F.count("value").alias("unique_count"),
     )
+    pairs = [F.lit(x) for n in names for x in (n, kinds[n].simpleString())]
+    profile = profile.withColumn("dtype", F.create_map(*pairs)[F.col("field")])
     return profile.select(*PROFILE_COLUMNS).orderBy("field")  # one row per column
 
 

@@ -60,20 +60,28 @@ def _type_of(c):
 
 
 def envelope_problems(docs: DataFrame) -> DataFrame:
-    """(source_file, problems): per document the list of broken envelope rules; empty when none."""
+    """(source_file, problems): per document the list of broken envelope rules; null when none."""
     found = {
         name: F.schema_of_variant(F.try_variant_get("doc", f"$.{name}", "variant"))
         for name in ENVELOPE_TYPES
     }
     rules = [
-        F.when(F.col("doc").isNull(), F.lit("not JSON")),
-        F.when(~_type_of("doc").startswith("OBJECT"), F.lit("not an object")),
+        (F.col("doc").isNull(), "not JSON"),
+        (~_type_of("doc").startswith("OBJECT"), "not an object"),
     ]
     for name, wanted in ENVELOPE_TYPES.items():
-        rules.append(F.when(found[name].isNull(), F.lit(f"{name} is missing")))
-        rules.append(F.when(~found[name].startswith(wanted), F.lit(f"{name} is not {wanted}")))
-    problems = F.filter(F.array(*rules), lambda r: r.isNotNull())
-    return docs.select(SOURCE, problems.alias("problems"))
+        rules.append((found[name].isNull(), f"{name} is missing"))
+        rules.append((~found[name].startswith(wanted), f"{name} is not {wanted}"))
+    problems = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]))
+    return docs.select(SOURCE, F.when(_any(r[0] for r in rules), problems).alias("problems"))
+
+
+def _any(conditions):
+    """One boolean in generated code; lists of findings are built only where it holds."""
+    met = F.lit(False)
+    for condition in conditions:
+        met = met | F.coalesce(condition, F.lit(False))
+    return met
 
 
 def flatten_records(docs: DataFrame) -> DataFrame:
@@ -101,7 +109,8 @@ def record_problems(flat: DataFrame, spec: CatalogSpec) -> DataFrame:
 def typed_records(flat: DataFrame, spec: CatalogSpec) -> DataFrame:
     """Contract columns in contract order, then ``row_index``, ``mistyped`` and ``source_file``.
 
-    A cell of the wrong type becomes null and its JSON text is kept in the map ``mistyped``.
+    A cell of the wrong type becomes null and its JSON text is kept in the map ``mistyped``,
+    which is null for the usual row without any.
     """
     columns, wrong = [], []
     for name in spec.raw_fields:
@@ -119,8 +128,9 @@ def typed_records(flat: DataFrame, spec: CatalogSpec) -> DataFrame:
             value = F.try_variant_get("rec", f"$.{name}", "string")
         columns.append(F.when(is_good, value).alias(name))
         is_wrong = ~is_good & (kind != "VOID")
-        wrong.append(F.when(is_wrong, F.struct(F.lit(name), F.to_json(cell))))
-    mistyped = F.map_from_entries(F.filter(F.array(*wrong), lambda w: w.isNotNull()))
+        wrong.append((is_wrong, F.struct(F.lit(name), F.to_json(cell))))
+    entries = F.array_compact(F.array(*[F.when(bad, entry) for bad, entry in wrong]))
+    mistyped = F.when(_any(w[0] for w in wrong), F.map_from_entries(entries))
     return flat.select(
         *columns, F.col(ROW_INDEX).cast("bigint").alias(ROW_INDEX), mistyped.alias(MISTYPED), SOURCE
     )
@@ -152,7 +162,7 @@ def check_encoding(spark: SparkSession, path) -> None:
 
 
 def check_envelopes(docs: DataFrame) -> None:
-    bad = envelope_problems(docs).filter(F.size("problems") > 0).limit(SHOWN_PROBLEMS).collect()
+    bad = envelope_problems(docs).filter("problems IS NOT NULL").limit(SHOWN_PROBLEMS).collect()
     if any("not JSON" in r.problems for r in bad):
         raise SourceMalformed("input is not valid JSON", path=[r[SOURCE] for r in bad])
     if bad:

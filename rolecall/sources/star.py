@@ -209,6 +209,6 @@ def order_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("count"),
         F.array(record).alias("vulnerabilities"),
     )
-    return table(spark, sf_dir, "orders").select(
-        F.lit("orders").alias("source_file"), F.parse_json(F.to_json(envelope)).alias("doc")
-    )
+    # The explode of one document keeps later conditions from repeating the parse.
+    doc = F.explode(F.array(F.parse_json(F.to_json(envelope)))).alias("doc")
+    return table(spark, sf_dir, "orders").select(F.lit("orders").alias("source_file"), doc)
