@@ -138,6 +138,7 @@ def _envelope_problems(spark, sf):
 
 def _term_stats(spark, sf):
     docs = star.documents_catalog(spark, sf)
+    docs = textcluster.spread_if_small(docs, docs.count())
     return textcluster.term_stats(
         textcluster.with_terms(docs, textcluster.analysis_text(DOCS), list(STOP))
     )
