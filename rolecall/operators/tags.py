@@ -35,12 +35,15 @@ def bad_members(spec: CatalogSpec):
 def check_tags(df: DataFrame, spec: CatalogSpec) -> None:
     """Refuse null lists, bad members and unknown statuses, naming the first few rows."""
     place = ROW_INDEX if ROW_INDEX in df.columns else spec.id
-    nulls = df.filter(F.col(spec.tags).isNull()).select(place).limit(SHOWN_ROWS).collect()
-    if nulls:
-        raise RecordMismatch(f"{spec.tags} must be a list in every row", rows=[r[0] for r in nulls])
-    bad = df.filter(F.size(bad_members(spec)) > 0).select(place).limit(SHOWN_ROWS).collect()
-    if bad:
-        raise RecordMismatch(f"{spec.tags} has invalid members", rows=[r[0] for r in bad])
+    no_list = F.col(spec.tags).isNull()
+    bad = df.filter(no_list | (F.size(bad_members(spec)) > 0))
+    shown = bad.select(F.col(place).alias("place"), no_list.alias("no_list"))
+    rows = shown.orderBy(F.desc("no_list")).limit(SHOWN_ROWS).collect()
+    if rows and rows[0].no_list:
+        places = [r.place for r in rows if r.no_list]
+        raise RecordMismatch(f"{spec.tags} must be a list in every row", rows=places)
+    if rows:
+        raise RecordMismatch(f"{spec.tags} has invalid members", rows=[r.place for r in rows])
 
 
 def long_table(

@@ -46,6 +46,7 @@ class RunConfig:
     candidate_k: tuple[int, ...] = textcluster.CANDIDATE_K
     cases: tuple[dict, ...] | None = None
     run_id: str | None = None
+    digest_input: bool = True  # one more pass over the input
 
 
 @dataclass(frozen=True)
@@ -55,30 +56,33 @@ class RunResult:
     manifest: DataFrame
 
 
+def _digest(spark: SparkSession, config: RunConfig, raw: DataFrame) -> str:
+    """SHA-256 of a single document; an order-insensitive sum over many documents or over rows."""
+    if not config.digest_input:
+        return ""
+    if config.input_kind != "envelope":
+        return fingerprint(raw).first()["fingerprint"]
+    files = source_digest(spark, config.source)
+    row = files.agg(
+        F.count("*").alias("n"),
+        F.min("sha256").alias("only"),
+        F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).cast("string").alias("combined"),
+    ).first()
+    return row.only if row.n == 1 else row.combined
+
+
 def _ingest(spark: SparkSession, config: RunConfig, run_id: str):
-    """(metadata or None, stored raw records, digest of the input)."""
-    spec = config.spec
+    """(metadata or None, stored raw records)."""
     if config.input_kind not in INPUT_KINDS:
         raise ValueError(f"input_kind must be one of {INPUT_KINDS}")
     if config.input_kind == "parquet":
-        raw = records.read_record_parquet(spark, config.source)
-        return None, raw, fingerprint(raw).first()["fingerprint"]
+        return None, records.read_record_parquet(spark, config.source)
+    landing = f"{checkpoint_root(spark)}/landed-{run_id}"
     if config.input_kind == "record_lines":
-        metadata, raw = None, records.read_record_lines(spark, config.source, spec)
-    else:
-        one_per_line = config.input_kind == "envelope_lines"
-        read = envelope.read_envelope(spark, config.source, spec, one_per_line)
-        metadata, raw = read.metadata, read.records
-    whole_documents = config.input_kind == "envelope"
-    raw = envelope.land(raw, f"{checkpoint_root(spark)}/landed-{run_id}", whole_documents)
-    if whole_documents:
-        # One digest per file; a folder's digest is that of its sorted list of digests.
-        files = source_digest(spark, config.source)
-        listed = files.agg(F.array_join(F.array_sort(F.collect_list("sha256")), "\n").alias("d"),
-                           F.count("*").alias("n"))
-        row = listed.select(F.when(F.col("n") == 1, F.col("d")).otherwise(F.sha2("d", 256))).first()
-        return metadata, raw, row[0]
-    return metadata, raw, fingerprint(raw).first()["fingerprint"]
+        return None, records.read_record_lines(spark, config.source, config.spec, landing)
+    by_line = config.input_kind == "envelope_lines"
+    read = envelope.read_envelope(spark, config.source, config.spec, by_line, landing)
+    return read.metadata, read.records
 
 
 def _publish_quality(out: Publisher, raw, spec: CatalogSpec, metadata) -> bool:
@@ -145,6 +149,7 @@ def _analyses(prepared: DataFrame, config: RunConfig):
         yield "ml_cluster_selection", result.selection
         yield "ml_cluster_summary", result.summary
         yield "ml_cluster_keywords", result.keywords
+        result.release()
 
 
 def _finish(out: Publisher, state: str, config: RunConfig, digest: str) -> DataFrame:
@@ -157,7 +162,8 @@ def run_core(spark: SparkSession, config: RunConfig) -> tuple[Publisher, DataFra
     """Ingest, check and, if the input is valid, publish the prepared table and return it."""
     run_id = config.run_id or uuid.uuid4().hex[:12]
     out = Publisher(spark, f"{config.output_root.rstrip('/')}/run-{run_id}", config.format)
-    metadata, raw, digest = _ingest(spark, config, run_id)
+    metadata, raw = _ingest(spark, config, run_id)
+    digest = _digest(spark, config, raw)
     if metadata is not None:
         metadata.coalesce(1).write.mode("overwrite").json(f"{out.root}/validation/metadata")
     if not _publish_quality(out, raw, config.spec, metadata):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.errors import (
@@ -21,6 +21,7 @@ from rolecall.errors import (
     SourceMalformed,
     SourceNotFound,
 )
+from rolecall.session import cut_lineage
 from rolecall.spec import MISTYPED, ROW_INDEX, SOURCE, VULNERABILITY_FEED, CatalogSpec
 
 # The envelope's own fields and the type each must have.
@@ -59,8 +60,8 @@ def _type_of(c):
     return F.schema_of_variant(c)
 
 
-def envelope_problems(docs: DataFrame) -> DataFrame:
-    """(source_file, problems): per document the list of broken envelope rules; null when none."""
+def _problems() -> Column:
+    """The broken envelope rules of ``doc`` as a list; null when none."""
     found = {
         name: F.schema_of_variant(F.try_variant_get("doc", f"$.{name}", "variant"))
         for name in ENVELOPE_TYPES
@@ -73,7 +74,12 @@ def envelope_problems(docs: DataFrame) -> DataFrame:
         rules.append((found[name].isNull(), f"{name} is missing"))
         rules.append((~found[name].startswith(wanted), f"{name} is not {wanted}"))
     problems = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]))
-    return docs.select(SOURCE, F.when(_any(r[0] for r in rules), problems).alias("problems"))
+    return F.when(_any(r[0] for r in rules), problems)
+
+
+def envelope_problems(docs: DataFrame) -> DataFrame:
+    """(source_file, problems): per document the list of broken envelope rules; null when none."""
+    return docs.select(SOURCE, _problems().alias("problems"))
 
 
 def _any(conditions):
@@ -90,27 +96,31 @@ def flatten_records(docs: DataFrame) -> DataFrame:
     return docs.select(SOURCE, F.posexplode(records).alias(ROW_INDEX, "rec"))
 
 
-def record_problems(flat: DataFrame, spec: CatalogSpec) -> DataFrame:
-    """Records that are not objects or whose field set differs from the closed contract."""
+def _field_findings(spec: CatalogSpec) -> list[Column]:
     names = F.map_keys(F.try_variant_get("rec", "$", "map<string,variant>"))
     wanted = F.array(*[F.lit(f) for f in spec.raw_fields])
-    return (
-        flat.select(
-            SOURCE,
-            ROW_INDEX,
-            names.isNull().alias("not_an_object"),
-            F.array_except(wanted, names).alias("missing"),
-            F.array_except(names, wanted).alias("extra"),
-        )
-        .filter("not_an_object OR size(missing) > 0 OR size(extra) > 0")
-    )
+    return [
+        names.isNull().alias("not_an_object"),
+        F.array_except(wanted, names).alias("missing"),
+        F.array_except(names, wanted).alias("extra"),
+    ]
+
+
+FINDINGS = ("not_an_object", "missing", "extra")
+HAS_FINDING = "not_an_object OR size(missing) > 0 OR size(extra) > 0"
+
+
+def record_problems(flat: DataFrame, spec: CatalogSpec) -> DataFrame:
+    """Records that are not objects or whose field set differs from the closed contract."""
+    return flat.select(SOURCE, ROW_INDEX, *_field_findings(spec)).filter(HAS_FINDING)
 
 
-def typed_records(flat: DataFrame, spec: CatalogSpec) -> DataFrame:
+def typed_records(flat: DataFrame, spec: CatalogSpec, findings: bool = False) -> DataFrame:
     """Contract columns in contract order, then ``row_index``, ``mistyped`` and ``source_file``.
 
     A cell of the wrong type becomes null and its JSON text is kept in the map ``mistyped``,
-    which is null for the usual row without any.
+    which is null for the usual row without any. ``findings`` adds the field check's result, so
+    that one parse yields both.
     """
     columns, wrong = [], []
     for name in spec.raw_fields:
@@ -131,26 +141,34 @@ def typed_records(flat: DataFrame, spec: CatalogSpec) -> DataFrame:
         wrong.append((is_wrong, F.struct(F.lit(name), F.to_json(cell))))
     entries = F.array_compact(F.array(*[F.when(bad, entry) for bad, entry in wrong]))
     mistyped = F.when(_any(w[0] for w in wrong), F.map_from_entries(entries))
+    checked = _field_findings(spec) if findings else []
     return flat.select(
-        *columns, F.col(ROW_INDEX).cast("bigint").alias(ROW_INDEX), mistyped.alias(MISTYPED), SOURCE
+        *columns,
+        F.col(ROW_INDEX).cast("bigint").alias(ROW_INDEX),
+        mistyped.alias(MISTYPED),
+        SOURCE,
+        *checked,
     )
 
 
-def metadata(docs: DataFrame, spec: CatalogSpec) -> DataFrame:
-    """One row per document: its own statements, the actual row count and the field list."""
+def _metadata_columns(spec: CatalogSpec) -> list[Column]:
     text = [
         F.try_variant_get("doc", f"$.{n}", "string").alias(n)
         for n in ("title", "catalogVersion", "dateReleased")
     ]
-    return docs.select(
-        SOURCE,
+    size = F.size(F.try_variant_get("doc", f"$.{RECORDS_FIELD}", "array<variant>"))
+    return [
+        F.col(SOURCE),
         *text,
         F.try_variant_get("doc", "$.count", "bigint").alias("count"),
-        F.coalesce(
-            F.size(F.try_variant_get("doc", f"$.{RECORDS_FIELD}", "array<variant>")), F.lit(0)
-        ).cast("bigint").alias("actualRecordCount"),
+        F.coalesce(size, F.lit(0)).cast("bigint").alias("actualRecordCount"),
         F.array(*[F.lit(f) for f in spec.raw_fields]).alias("originalFields"),
-    )
+    ]
+
+
+def metadata(docs: DataFrame, spec: CatalogSpec) -> DataFrame:
+    """One row per document: its own statements, the actual row count and the field list."""
+    return docs.select(*_metadata_columns(spec))
 
 
 def check_encoding(spark: SparkSession, path) -> None:
@@ -161,8 +179,10 @@ def check_encoding(spark: SparkSession, path) -> None:
         raise SourceEncoding("input is not UTF-8", path=broken)
 
 
-def check_envelopes(docs: DataFrame) -> None:
-    bad = envelope_problems(docs).filter("problems IS NOT NULL").limit(SHOWN_PROBLEMS).collect()
+def check_envelopes(described: DataFrame) -> None:
+    """Refuse documents with ``problems``, naming the first few."""
+    bad = described.filter("problems IS NOT NULL").select(SOURCE, "problems")
+    bad = bad.limit(SHOWN_PROBLEMS).collect()
     if any("not JSON" in r.problems for r in bad):
         raise SourceMalformed("input is not valid JSON", path=[r[SOURCE] for r in bad])
     if bad:
@@ -172,8 +192,10 @@ def check_envelopes(docs: DataFrame) -> None:
         )
 
 
-def check_records(flat: DataFrame, spec: CatalogSpec) -> None:
-    bad = record_problems(flat, spec).limit(SHOWN_PROBLEMS).collect()
+def check_records(findings: DataFrame) -> None:
+    """Refuse records with findings, naming the first few."""
+    bad = findings.filter(HAS_FINDING).select(ROW_INDEX, "missing", "extra")
+    bad = bad.limit(SHOWN_PROBLEMS).collect()
     if bad:
         raise RecordMismatch(
             "record fields differ from the contract",
@@ -181,21 +203,41 @@ def check_records(flat: DataFrame, spec: CatalogSpec) -> None:
         )
 
 
+def checked_records(
+    flat: DataFrame, spec: CatalogSpec, landing: str | None, rebalance: bool
+) -> DataFrame:
+    """Typed records after the field check. With ``landing`` they are parsed and stored once and
+    the check reads the stored findings; without it the check is a pass of its own."""
+    typed = typed_records(flat, spec, findings=True)
+    if landing is not None:
+        typed = land(typed, landing, rebalance)
+    check_records(typed)
+    return typed.drop(*FINDINGS)
+
+
 def read_envelope(
     spark: SparkSession,
     path,
     spec: CatalogSpec = VULNERABILITY_FEED,
     one_per_line: bool = False,
+    landing: str | None = None,
 ) -> Envelope:
-    """Read envelope documents and reject broken ones; no business cleaning."""
+    """Read envelope documents and reject broken ones; no business cleaning.
+
+    ``landing`` names a shared folder for the records: then the input is parsed twice, once
+    for the one-row-per-document description and once for the records, however often the
+    result is used.
+    """
     docs = read_documents(spark, path, one_per_line)
     if not one_per_line:
         # A whole document is one binary row anyway; line files are checked by the parser.
         check_encoding(spark, path)
-    check_envelopes(docs)
-    flat = flatten_records(docs)
-    check_records(flat, spec)
-    return Envelope(metadata(docs, spec), typed_records(flat, spec))
+    described = cut_lineage(
+        docs.select(*_metadata_columns(spec), _problems().alias("problems"))
+    )
+    check_envelopes(described)
+    records = checked_records(flatten_records(docs), spec, landing, not one_per_line)
+    return Envelope(described.drop("problems"), records)
 
 
 def land(records: DataFrame, path: str, rebalance: bool = True) -> DataFrame:

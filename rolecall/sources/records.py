@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecall.sources.envelope import check_records, typed_records
+from rolecall.sources.envelope import checked_records
 from rolecall.spec import ROW_INDEX, SOURCE, VULNERABILITY_FEED, CatalogSpec
 
 
+# A start position per file is broadcast up to this many files, some 200 bytes each.
+BROADCAST_FILES = 50_000
+
+
 def read_record_lines(
-    spark: SparkSession, path, spec: CatalogSpec = VULNERABILITY_FEED
+    spark: SparkSession,
+    path,
+    spec: CatalogSpec = VULNERABILITY_FEED,
+    landing: str | None = None,
 ) -> DataFrame:
     """One JSON record per line, as strictly as in an envelope. Splittable, so it scales out.
 
@@ -21,8 +28,7 @@ def read_record_lines(
     flat = lines.select(
         F.col("_metadata.file_path").alias(SOURCE), F.lit(None).cast("int").alias(ROW_INDEX), "rec"
     )
-    check_records(flat, spec)
-    return typed_records(flat, spec)
+    return checked_records(flat, spec, landing, rebalance=False)
 
 
 def read_record_parquet(spark: SparkSession, path, with_row_index: bool = True) -> DataFrame:
@@ -33,6 +39,7 @@ def read_record_parquet(spark: SparkSession, path, with_row_index: bool = True)
     rows = spark.read.parquet(path)
     if not with_row_index:
         return rows
+    files = len(rows.inputFiles())
     names = rows.columns
     rows = rows.select(
         *names,
@@ -43,6 +50,8 @@ def read_record_parquet(spark: SparkSession, path, with_row_index: bool = True)
     before = Window.orderBy(SOURCE).rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(SOURCE).agg((F.max("_position") + 1).alias("_rows"))
     starts = starts.select(SOURCE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    if files <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     joined = rows.join(starts, SOURCE)
     return joined.select(
         *names, (F.col("_start") + F.col("_position")).cast("bigint").alias(ROW_INDEX), SOURCE
