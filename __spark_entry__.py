@@ -177,7 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "status_totals": lambda s, d: status.totals(_states(s, d), ORDERS),
         "status_by_year": lambda s, d: status.by_year(_states(s, d), ORDERS),
         "status_unsupported": lambda s, d: status.unsupported_statuses(
-            star.lines_catalog(s, d, labels=False), LINES
+            star.table(s, d, "lineitem"), LINES
         ),
         # vendors and products
         "vendor_summary": lambda s, d: concentration.vendor_summary(_order_pairs(s, d)),

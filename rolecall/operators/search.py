@@ -42,11 +42,12 @@ def _to_day(value, name: str) -> date | None:
     return stamp.replace(tzinfo=None).date()
 
 
-def _needle(value, name: str, error) -> str | None:
+def _needle(value, name: str) -> str | None:
+    """Stripped text; blank means no condition."""
     if value is None:
         return None
     if not isinstance(value, str):
-        raise error(f"{name} must be text", **{name: repr(value)})
+        raise TypeError(f"{name} must be text, not {value!r}")
     return value.strip() or None
 
 
@@ -93,15 +94,15 @@ def conditions(criteria: Criteria, spec: CatalogSpec) -> Conditions:
     end = _to_day(criteria.end_date, "end_date")
     if start and end and start > end:
         raise BadDateRange("start_date is after end_date", start_date=str(start), end_date=str(end))
-    vendor = _needle(criteria.vendor, "vendor", MissingColumns)
+    vendor = _needle(criteria.vendor, "vendor")
     if criteria.status is not None and criteria.status not in spec.status_domain:
         raise BadStatus("status is outside the domain", status=criteria.status)
-    tag = _needle(criteria.tag, "tag", BadTag)
+    tag = _needle(criteria.tag, "tag")
     if tag:
         tag = tag.upper() if spec.upper_tags else tag
         if not re.fullmatch(spec.tag_pattern or ".*", tag):
             raise BadTag("tag does not match the pattern", tag=criteria.tag)
-    product = _needle(criteria.product, "product", MissingColumns)
+    product = _needle(criteria.product, "product")
     return Conditions(start, end, vendor, product, criteria.status, tag)
 
 

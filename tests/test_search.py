@@ -76,7 +76,9 @@ def test_single_conditions(catalog, fields, expected):
     ({"status": "known"}, BadStatus),
     ({"status": ""}, BadStatus),
     ({"tag": "79"}, BadTag),
-    ({"tag": 79}, BadTag),
+    ({"tag": 79}, TypeError),
+    ({"vendor": 5}, TypeError),
+    ({"product": b"x"}, TypeError),
 ])
 def test_bad_arguments(catalog, fields, error):
     with pytest.raises(error):
