@@ -144,6 +144,11 @@ def _term_stats(spark, sf):
     )
 
 
+def _vocabulary(spark, sf):
+    n_docs = star.table(spark, sf, "documents").count()
+    return textcluster.top_terms(_term_stats(spark, sf), n_docs)
+
+
 def _clusters(part, candidate_k=(4,), n_init=1):
     def query(spark, sf):
         docs = star.documents_catalog(spark, sf)
@@ -231,6 +236,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "table_fingerprint": lambda s, d: fingerprint(star.table(s, d, "lineitem")).drop("columns"),
         # text
         "text_term_stats": _term_stats,
+        "text_vocabulary": _vocabulary,
         "cluster_selection": _clusters("selection", textcluster.CANDIDATE_K, 3),
         "cluster_records": _clusters("records"),
         "cluster_summary": _clusters("summary"),
@@ -410,6 +416,19 @@ def oracle_sql() -> dict[str, str]:
             strict=True,
         )
     )
+    terms = rf"""
+        w AS (
+          SELECT doc_id, [x FOR x IN
+            regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]{{2,}}')
+            IF x NOT IN ({stop})] AS ws FROM documents),
+        t AS (
+          SELECT doc_id, unnest(ws) AS term FROM w
+          UNION ALL
+          SELECT doc_id, unnest([ws[i] || ' ' || ws[i + 1]
+                                 FOR i IN generate_series(1, len(ws) - 1)]) FROM w),
+        stats AS (
+          SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_count
+          FROM t GROUP BY 1)"""
     six = ("min(dd)", "quantile_cont(dd, 0.25)", "quantile_cont(dd, 0.5)",
            "CAST(sum(dd) AS DOUBLE) / count(*)", "quantile_cont(dd, 0.75)", "max(dd)")
     return {
@@ -589,16 +608,9 @@ def oracle_sql() -> dict[str, str]:
         "envelope_problems": """
             SELECT 'envelope' AS kind, CAST(0 AS BIGINT) AS n
             UNION ALL SELECT 'extra field', count(*) FROM orders""",
-        "text_term_stats": rf"""
-            WITH w AS (
-              SELECT doc_id, [x FOR x IN
-                regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]{{2,}}')
-                IF x NOT IN ({stop})] AS ws FROM documents),
-            t AS (
-              SELECT doc_id, unnest(ws) AS term FROM w
-              UNION ALL
-              SELECT doc_id, unnest([ws[i] || ' ' || ws[i + 1]
-                                     FOR i IN generate_series(1, len(ws) - 1)]) FROM w)
-            SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_count
-            FROM t GROUP BY 1""",
+        "text_term_stats": f"WITH {terms} SELECT * FROM stats",
+        "text_vocabulary": f"""WITH {terms}
+            SELECT * FROM stats
+            WHERE doc_count >= 2 AND doc_count <= 0.95 * (SELECT count(*) FROM documents)
+            ORDER BY term_count DESC, term LIMIT 5000""",
     }

@@ -61,18 +61,23 @@ def _type_of(c):
 
 
 def _problems() -> Column:
-    """The broken envelope rules of ``doc`` as a list; null when none."""
-    found = {
-        name: F.schema_of_variant(F.try_variant_get("doc", f"$.{name}", "variant"))
-        for name in ENVELOPE_TYPES
-    }
+    """The broken envelope rules of ``doc`` as a list; null when none.
+
+    Only the top level is opened; the types inside the record array are not looked at here.
+    """
+    top = F.try_variant_get("doc", "$", "map<string,variant>")
     rules = [
         (F.col("doc").isNull(), "not JSON"),
-        (~_type_of("doc").startswith("OBJECT"), "not an object"),
+        (F.col("doc").isNotNull() & top.isNull(), "not an object"),
     ]
     for name, wanted in ENVELOPE_TYPES.items():
-        rules.append((found[name].isNull(), f"{name} is missing"))
-        rules.append((~found[name].startswith(wanted), f"{name} is not {wanted}"))
+        if wanted == "ARRAY":
+            is_wanted = F.try_variant_get("doc", f"$.{name}", "array<variant>").isNotNull()
+        else:
+            is_wanted = _type_of(F.try_variant_get("doc", f"$.{name}", "variant")) == wanted
+        has_field = F.map_contains_key(top, name)
+        rules.append((~has_field, f"{name} is missing"))
+        rules.append((has_field & ~is_wanted, f"{name} is not {wanted}"))
     problems = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]))
     return F.when(_any(r[0] for r in rules), problems)
 
@@ -235,6 +240,8 @@ def read_envelope(
     described = cut_lineage(
         docs.select(*_metadata_columns(spec), _problems().alias("problems"))
     )
+    if not one_per_line and described.count() < len(docs.inputFiles()):
+        raise SourceMalformed("a file holds no document", path=str(path))
     check_envelopes(described)
     records = checked_records(flatten_records(docs), spec, landing, not one_per_line)
     return Envelope(described.drop("problems"), records)

@@ -67,6 +67,15 @@ def test_broken_json(spark, tmp_path):
     assert err.value.code == "KEV-IO-002"
 
 
+def test_empty_file_beside_a_good_one(spark, tmp_path):
+    write(tmp_path, document([]), "a.json")
+    write(tmp_path, "", "b.json")
+    with pytest.raises(SourceMalformed):
+        envelope.read_envelope(spark, str(tmp_path))
+    with pytest.raises(SourceMalformed):
+        envelope.read_envelope(spark, str(tmp_path / "b.json"))
+
+
 def test_not_utf8(spark, tmp_path):
     path = tmp_path / "latin.json"
     path.write_bytes(json.dumps(document([], title="é"), ensure_ascii=False).encode("latin-1"))
@@ -79,6 +88,8 @@ def test_not_utf8(spark, tmp_path):
     "payload",
     [
         {"title": "only"},
+        5,
+        document([], vulnerabilities=None),
         [],
         document([], count=True),
         document([], count="0"),
