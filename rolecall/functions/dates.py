@@ -17,7 +17,7 @@ def day(df: DataFrame, name: str) -> Column:
     Text that is not a real day gives null, never an error.
     """
     if isinstance(df.schema[name].dataType, T.StringType):
-        return F.when(full_match(name, DAY_PATTERN), F.try_to_date(name, "yyyy-MM-dd"))
+        return F.when(full_match(name, DAY_PATTERN), F.col(name).try_cast("date"))
     return F.col(name).cast("date")
 
 

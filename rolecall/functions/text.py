@@ -20,8 +20,9 @@ def strip(c) -> Column:
 
 
 def is_empty_text(c) -> Column:
-    """A string of nothing but white space; null is not a string."""
-    return F.coalesce(strip(c) == "", F.lit(False))
+    """A string of nothing but white space; null is not a string. Reads up to the first other
+    character only."""
+    return F.coalesce(F.ltrim(c, F.lit(WHITESPACE)) == "", F.lit(False))
 
 
 def is_blank(df: DataFrame, name: str) -> Column:

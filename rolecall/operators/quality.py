@@ -100,8 +100,15 @@ class _Rule:
     observed: Column
 
 
-def _bad_tags(spec: CatalogSpec) -> Column:
-    return F.filter(spec.tags, lambda t: t.isNull() | ~full_match(t, spec.tag_pattern))
+def _is_bad_tag(tag: Column, spec: CatalogSpec) -> Column:
+    return tag.isNull() | ~full_match(tag, spec.tag_pattern)
+
+
+def _any_broken(rules: list[_Rule]) -> Column:
+    met = rules[0].broken
+    for rule in rules[1:]:
+        met = met | rule.broken
+    return met
 
 
 def row_rules(df: DataFrame, spec: CatalogSpec) -> list[_Rule]:
@@ -124,10 +131,10 @@ def row_rules(df: DataFrame, spec: CatalogSpec) -> list[_Rule]:
         is_list = F.col(spec.tags).isNotNull()
         rules.append(_Rule("KEV-VAL-008", spec.tags, ~is_list, display(df, spec.tags)))
         if spec.tag_pattern:
-            bad = _bad_tags(spec)
+            has_bad = F.exists(spec.tags, lambda t: _is_bad_tag(t, spec))
+            bad = F.filter(spec.tags, lambda t: _is_bad_tag(t, spec))
             rules.append(
-                _Rule("KEV-VAL-009", spec.tags, F.coalesce(F.size(bad) > 0, F.lit(False)) & is_list,
-                      F.to_json(bad))
+                _Rule("KEV-VAL-009", spec.tags, F.coalesce(has_bad, F.lit(False)), F.to_json(bad))
             )
     for name in spec.key_text:
         rules.append(_Rule("KEV-VAL-010", name, _blank_cell(df, name), display(df, name)))
@@ -162,8 +169,10 @@ def _position(df: DataFrame) -> Column:
 def row_issues(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     """One row per broken rule and cell, from a single pass.
 
-    Null entries are dropped after the explode, so the rules stay in generated code.
+    A row that breaks nothing is dropped before any list is built. Null entries are dropped
+    after the explode, so the rules stay in generated code.
     """
+    rules = row_rules(df, spec)
     found = F.array(
         *[
             F.when(
@@ -174,10 +183,11 @@ def row_issues(df: DataFrame, spec: CatalogSpec) -> DataFrame:
                     r.observed.alias("observed_value"),
                 ),
             )
-            for r in row_rules(df, spec)
+            for r in rules
         ]
     )
-    exploded = df.select(_position(df), F.col(spec.id), F.explode(found).alias("i"))
+    broken = df.filter(_any_broken(rules))
+    exploded = broken.select(_position(df), F.col(spec.id), F.explode(found).alias("i"))
     exploded = exploded.filter(F.col("i").isNotNull())
     return exploded.select("row_index", spec.id, "i.issue_code", "i.field", "i.observed_value")
 
