@@ -136,6 +136,29 @@ def _envelope_problems(spark, sf):
     )
 
 
+def _raw_orders(spark, sf):
+    return star.orders_catalog(spark, sf).select(*ORDERS.raw_fields)
+
+
+def _tag_issues(spark, sf):
+    """Tag rules over all orders, with a pattern that refuses two-digit brands."""
+    strict = ORDERS.with_options(tag_pattern="Brand#[0-9]")
+    return quality.issues(_raw_orders(spark, sf), strict)
+
+
+def _counters(spark, sf):
+    found = quality.counters(_raw_orders(spark, sf), ORDERS)
+    return _raw_orders(spark, sf).agg(*[c.alias(n) for n, c in found.items()])
+
+
+def _analysis_text(spark, sf):
+    docs = star.documents_catalog(spark, sf)
+    text = textcluster.analysis_text(DOCS)
+    return docs.select(
+        "doc_id", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("digest")
+    )
+
+
 def _term_stats(spark, sf):
     docs = star.documents_catalog(spark, sf)
     docs = textcluster.spread_if_small(docs, docs.count())
@@ -223,6 +246,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # quality and preparation
         "quality_summary": lambda s, d: quality.check_summary(_lines(s, d), LINES),
         "quality_issues": lambda s, d: quality.issues(_lines(s, d), LINES),
+        "quality_issues_tags": _tag_issues,
+        "quality_counters": _counters,
         "field_profile": lambda s, d: quality.field_profile(_lines(s, d)),
         "prepared": lambda s, d: prepare.prepare(_lines(s, d), LINES)[0],
         "rejected": lambda s, d: prepare.prepare(_lines(s, d), LINES)[1].withColumn(
@@ -235,6 +260,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # outputs
         "table_fingerprint": lambda s, d: fingerprint(star.table(s, d, "lineitem")).drop("columns"),
         # text
+        "analysis_text": _analysis_text,
         "text_term_stats": _term_stats,
         "text_vocabulary": _vocabulary,
         "cluster_selection": _clusters("selection", textcluster.CANDIDATE_K, 3),
@@ -582,6 +608,24 @@ def oracle_sql() -> dict[str, str]:
             _issue("KEV-VAL-006", "l_shipdate", "l_shipdate < o_orderdate"),
             _issue("KEV-VAL-007", "l_returnflag", _BAD_STATUS),
         ]),
+        "quality_issues_tags": f"""WITH {_TAGGED}
+            SELECT 'KEV-VAL-009' AS issue_code, 'ERROR' AS severity,
+                   CAST(NULL AS BIGINT) AS row_index, o_orderkey, 'brands' AS field,
+                   '[' || string_agg('"' || brand || '"', ',' ORDER BY brand) || ']'
+                     AS observed_value,
+                   '{quality.CHECKS["KEV-VAL-009"][2]}' AS message
+            FROM tl WHERE NOT regexp_full_match(brand, 'Brand#[0-9]') GROUP BY o_orderkey""",
+        "quality_counters": f"""WITH {_TAGGED}
+            SELECT count(*) FILTER (WHERE brand_count = 0) AS empty_brand,
+                   count(*) FILTER (WHERE has_brand) AS with_brand,
+                   count(*) FILTER (WHERE has_brand AND o_orderstatus = 'F') AS f_with_brand,
+                   count(*) FILTER (WHERE has_brand AND o_orderstatus IN ('O', 'P'))
+                     AS other_with_brand,
+                   count(*) FILTER (WHERE vendor_clean <> trim(vendor_clean))
+                     AS vendor_whitespace,
+                   count(*) FILTER (WHERE product_clean <> trim(product_clean))
+                     AS product_whitespace
+            FROM shown""",
         "field_profile": f"WITH {_RAW_LINES} " + " UNION ALL ".join(
             _profile(c, t) for c, t in (
                 ("line_id", "string"), ("s_name", "string"), ("p_name", "string"),
@@ -608,6 +652,13 @@ def oracle_sql() -> dict[str, str]:
         "envelope_problems": """
             SELECT 'envelope' AS kind, CAST(0 AS BIGINT) AS n
             UNION ALL SELECT 'extra field', count(*) FROM orders""",
+        "analysis_text": r"""
+            WITH d AS (
+              SELECT doc_id, regexp_replace(regexp_replace(text,
+                '^[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ''),
+                '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '') AS t
+              FROM documents)
+            SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS digest FROM d""",
         "text_term_stats": f"WITH {terms} SELECT * FROM stats",
         "text_vocabulary": f"""WITH {terms}
             SELECT * FROM stats
