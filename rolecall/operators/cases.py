@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rolecall.errors import MissingColumns, RecordMismatch, require_columns
 from rolecall.operators.search import Criteria, check_lists, conditions, summary_columns
 from rolecall.operators.tags import long_table
+from rolecall.session import cut_lineage
 from rolecall.spec import VENDOR, YEAR, CatalogSpec
 
 CASE_KEYS = ("case_id", "start_date", "end_date", "vendor", "status", "tag")
@@ -136,9 +137,12 @@ def run_cases(
     cases: Sequence[Mapping] | None = None,
     unique_ids: bool = False,
     checked: bool = False,
+    store: bool = False,
 ) -> CaseResult:
     """All cases in one scan: each row is marked with the cases it meets, then exploded.
 
+    ``store`` keeps the matching rows, so the summary and the rows share that one scan.
+
     A case's vendor is picked by its exact name and searched as a substring, like any search.
     """
     require_columns(df, spec.prepared_fields, MissingColumns, "case input")
@@ -158,6 +162,8 @@ def run_cases(
     # The OR goes ahead of the explode, so day ranges still reach the scan.
     rows = df.filter(any_met).withColumn("case_id", F.explode(ids))
     rows = rows.filter(F.col("case_id").isNotNull())
+    if store:
+        rows = cut_lineage(rows)
     counted = rows.groupBy("case_id").agg(*summary_columns(spec))
     schema = "case_id int, " + ", ".join(f"{k} string" for k in CASE_KEYS[1:])
     stated = df.sparkSession.createDataFrame(

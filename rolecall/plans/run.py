@@ -88,13 +88,14 @@ def _ingest(spark: SparkSession, config: RunConfig, run_id: str):
 def _publish_quality(out: Publisher, raw, spec: CatalogSpec, metadata) -> bool:
     """Write the three quality tables; the verdict comes from the stored summary."""
     tables = registry(spec)
-    report = quality.validate(raw, spec, metadata)
-    summary = cut_lineage(report.summary)
+    summary = cut_lineage(quality.check_summary(raw, spec, metadata))
+    failed = summary.filter(~F.col("passed")).select("check_id", "severity").collect()
     out.write(summary, tables["validation_summary"])
-    out.write(quality.issues(raw, spec, summary), tables["validation_details"])
-    out.write(report.profile, tables["field_profile"])
-    blocking = F.col("severity").isin(*quality.BLOCKING)
-    return summary.filter(~F.col("passed") & blocking).count() == 0
+    # Only checks that failed are searched for rows; what they find is stored before it is sorted.
+    found = quality.issues(raw, spec, summary, [r.check_id for r in failed])
+    out.write(cut_lineage(found), tables["validation_details"])
+    out.write(quality.field_profile(raw), tables["field_profile"])
+    return not any(r.severity in quality.BLOCKING for r in failed)
 
 
 def _analyses(prepared: DataFrame, config: RunConfig):
@@ -137,7 +138,9 @@ def _analyses(prepared: DataFrame, config: RunConfig):
         yield f"{spec.tag_label}_overall_summary", tags.overall(prepared, long, spec)
         yield f"{spec.tag_label}_{spec.positive_key}_summary", tags.positive(prepared, long, spec)
         yield f"{spec.tag_label}_{spec.other_key}_summary", tags.other(prepared, long, spec)
-        found = cases.run_cases(prepared, spec, config.cases, unique_ids=True, checked=True)
+        found = cases.run_cases(
+            prepared, spec, config.cases, unique_ids=True, checked=True, store=True
+        )
         yield "query_cases_summary", found.summary
         yield "query_case", found.rows
 

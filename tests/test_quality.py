@@ -110,6 +110,17 @@ def test_counts_of_the_checks(dirty_report):
     }
 
 
+def test_searching_only_failed_checks_finds_the_same(dirty, dirty_report):
+    failed = [r.check_id for r in dirty_report.summary.collect() if not r.passed]
+    some = quality.issues(dirty.records, FEED, codes=failed)
+    rows = {(r.issue_code, r.row_index, r.field) for r in some.collect()}
+    assert rows == EXPECTED
+    one = quality.issues(dirty.records, FEED, codes=["KEV-VAL-008"])
+    assert [(r.issue_code, r.row_index) for r in one.collect()] == [("KEV-VAL-008", 5)]
+    none = quality.issues(dirty.records, FEED, codes=[])
+    assert none.count() == 0 and none.columns == quality.issue_columns(FEED)
+
+
 def test_observed_values_and_order(dirty_report):
     rows = dirty_report.issues.collect()
     seen = {(r.issue_code, r.row_index, r.field): r.observed_value for r in rows}
