@@ -31,37 +31,43 @@ class CaseResult:
         return mine.orderBy(F.desc(spec.opened), F.asc(spec.id))
 
 
-def _ranked(rows: DataFrame, spec: CatalogSpec, first, second) -> DataFrame:
-    """Candidates (first, second, distinct ids); the most frequent one leads, ties by name."""
+def _ranked(rows: DataFrame, spec: CatalogSpec, first, second, unique: bool) -> DataFrame:
+    """Candidates (first, second, distinct ids); the most frequent one leads, ties by name.
+
+    Where an id cannot occur twice in a group, counting it is counting distinct ids.
+    """
+    ids = F.count(spec.id) if unique else F.count_distinct(spec.id)
     return (
         rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
         .groupBy(first, second)
-        .agg(F.count_distinct(spec.id).alias("record_count"))
+        .agg(ids.alias("record_count"))
         .orderBy(F.desc("record_count"), F.asc(first), F.asc(second))
     )
 
 
-def year_vendor_candidates(df: DataFrame, spec: CatalogSpec) -> DataFrame:
+def year_vendor_candidates(df: DataFrame, spec: CatalogSpec, unique_ids: bool) -> DataFrame:
     """Year and vendor among positive records."""
-    return _ranked(df.filter(F.col(spec.status) == spec.positive_status), spec, YEAR, VENDOR)
+    positive = df.filter(F.col(spec.status) == spec.positive_status)
+    return _ranked(positive, spec, YEAR, VENDOR, unique_ids)
 
 
 def vendor_tag_candidates(long: DataFrame, spec: CatalogSpec) -> DataFrame:
-    return _ranked(long, spec, VENDOR, spec.tag_label)
+    """Vendor and tag. The long table holds an (id, tag) once, so a group with a tag does too."""
+    return _ranked(long, spec, VENDOR, spec.tag_label, unique=True)
 
 
 def year_tag_candidates(long: DataFrame, spec: CatalogSpec) -> DataFrame:
     """Year and tag among records of the second status of the domain."""
     rest = long.filter(F.col(spec.status) == spec.other_statuses[0])
     rest = rest.withColumn(YEAR, F.year(spec.opened).cast("bigint"))
-    return _ranked(rest, spec, YEAR, spec.tag_label)
+    return _ranked(rest, spec, YEAR, spec.tag_label, unique=True)
 
 
 def top_candidates(df: DataFrame, spec: CatalogSpec, unique_ids: bool = False) -> DataFrame:
     """The leading candidate of each of the three kinds, as one three-row table."""
     long = long_table(df, spec, unique_ids)
     picks = [
-        year_vendor_candidates(df, spec).limit(1).select(
+        year_vendor_candidates(df, spec, unique_ids).limit(1).select(
             F.lit(1).alias("case_id"), F.col(YEAR).alias("year"), F.col(VENDOR).alias("vendor"),
             F.lit(None).cast("string").alias("tag"), "record_count",
         ),
