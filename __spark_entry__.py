@@ -7,6 +7,8 @@ benchmark labels conversations.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -189,8 +191,23 @@ def _lines(spark, sf):
     return star.lines_catalog(spark, sf)
 
 
+def _llm(name: str) -> dict:
+    """Entries of the training-data subpackage and its pipeline; empty without them."""
+    found = {}
+    for module in ("rolecall.llm.queries", "corpus_pipeline"):
+        if importlib.util.find_spec(module.split(".")[0]) is None:
+            continue
+        try:
+            found |= getattr(importlib.import_module(module), name)
+        except ModuleNotFoundError as err:
+            if not (err.name or "").startswith(("rolecall.llm", "corpus_pipeline")):
+                raise
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **_llm("QUERIES"),
         # time
         "monthly_counts": _months,
         "annual_summary": lambda s, d: timeline.annual_summary(_months(s, d)),
@@ -458,6 +475,7 @@ def oracle_sql() -> dict[str, str]:
     six = ("min(dd)", "quantile_cont(dd, 0.25)", "quantile_cont(dd, 0.5)",
            "CAST(sum(dd) AS DOUBLE) / count(*)", "quantile_cont(dd, 0.75)", "max(dd)")
     return {
+        **_llm("SQL"),
         "monthly_counts": f"WITH {_MONTHS} SELECT added_month, record_count FROM monthly",
         "annual_summary": f"""WITH {_MONTHS}
             SELECT added_year, CAST(sum(record_count) AS BIGINT) AS record_count,
