@@ -18,7 +18,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from rolecall.llm import bpe
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(documents, path).drop("text")
+
+
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op9_toxicity": op9_toxicity,
 }
 SQL: dict[str, str] = {}
