@@ -81,3 +81,68 @@ class Recent:
         """Call between batches: a full young generation becomes the old one."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
+
+
+# A key is heavy when it holds more than 1/HEAVY of all rows, so fewer than HEAVY keys are.
+HEAVY = 1000
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``values(key, size, ...)``, one row a key, by left join.
+
+    ``size`` says how many of ``rows`` hold the key, ``total`` how many rows there are. The values
+    of heavy keys, fewer than HEAVY whatever the data, are broadcast, so no task gathers such a
+    key's rows; the other keys are joined by a shuffle in which none is large.
+    """
+    names = [c for c in values.columns if c not in (key, size)]
+    heavy = values.filter(F.col(size) * HEAVY > total).select(
+        key, F.struct(*names).alias("_heavy")
+    )
+    light = values.filter(F.col(size) * HEAVY <= total).select(
+        F.col(key).alias("_key"), F.struct(*names).alias("_light")
+    )
+    found = rows.join(F.broadcast(heavy), key, "left")
+    # Rows that have their value go on under a key of their own that matches nothing.
+    sought = F.when(F.col("_heavy").isNull(), F.col(key))
+    found = found.withColumn("_sought", sought).withColumn(
+        "_spread", F.when(F.col("_sought").isNull(), F.rand(7)).otherwise(0.0)
+    )
+    light = light.withColumn("_zero", F.lit(0.0) * F.xxhash64("_key"))
+    found = found.join(
+        light, (F.col("_sought") == F.col("_key")) & (F.col("_spread") == F.col("_zero")), "left"
+    )
+    value = F.coalesce("_heavy", "_light")
+    return found.select(*rows.columns, *[value[n].alias(n) for n in names])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` (the smallest node reachable) of the undirected ``edges(a, b)``.
+
+    Each round takes the smallest label among the neighbours and then the label's label, so chains
+    shorten by more than half a round; each round's labels are stored in the shared folder.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(both.filter("a <> b").distinct(), "edges")
+    labels = stored(
+        both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"),
+        "labels",
+    )
+    while True:
+        near = (
+            both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("_near"))
+        )
+        step = labels.join(near, labels.node == near.a).select(
+            "node", "root", F.least("root", "_near").alias("_new")
+        )
+        jump = labels.select(F.col("node").alias("_at"), F.col("root").alias("_far"))
+        new = stored(
+            step.join(jump, F.col("_new") == F.col("_at"), "left").select(
+                "node", F.least("_new", F.coalesce("_far", "_new")).alias("_root"),
+                (F.least("_new", F.coalesce("_far", "_new")) < F.col("root")).alias("_changed"),
+            ),
+            "labels",
+        )
+        changed = new.filter("_changed").limit(1).count()
+        labels = new.select("node", F.col("_root").alias("root"))
+        if not changed:
+            return labels

@@ -28,7 +28,30 @@ def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.encode(documents, path).drop("text")
 
 
+def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import jaccard
+
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import decontaminate
+
+    return decontaminate.matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import pii
+
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_jaccard_groups": op2_jaccard_groups,
+    "op4_decontaminate": op4_decontaminate,
+    "op10_pii": op10_pii,
     "op3_bpe": op3_bpe,
     "op9_toxicity": op9_toxicity,
 }
