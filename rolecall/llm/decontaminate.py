@@ -38,7 +38,12 @@ _STATE: dict = {}
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.float32) * 2 - 1
+    return bits.astype(np.int64) * 2 - 1
+
+
+def _whole(weights: np.ndarray) -> np.ndarray:
+    """Weights in 1/1024, so that sums are exact and equal windows have equal fingerprints."""
+    return np.rint(weights * 1024).astype(np.int64)
 
 
 def _fingerprints(sums: np.ndarray) -> np.ndarray:
@@ -72,7 +77,8 @@ class Index:
         self.weights = [self.weight[np.searchsorted(self.known, s)] for s in self.sets]
         self.totals = np.array([w.sum() for w in self.weights])
         self.prints = _fingerprints(np.stack([
-            (_signs(s) * w[:, None]).sum(axis=0) for s, w in zip(self.sets, self.weights, strict=True)
+            (_signs(s) * _whole(w)[:, None]).sum(axis=0)
+            for s, w in zip(self.sets, self.weights, strict=True)
         ])) if self.sets else np.zeros(0, np.uint64)
         # Lengths of the items that hold each shingle.
         self.lengths: list[set[int]] = [set() for _ in self.known]
@@ -133,8 +139,8 @@ class Index:
             lo, hi = int(run[0]), int(run[-1]) + count
             known = place[lo:hi]
             weight = np.where(known >= 0, self.weight[known], self.rest)
-            sums = np.zeros((hi - lo + 1, BITS))
-            np.cumsum(_signs(hashes[lo:hi]) * weight[:, None], axis=0, out=sums[1:])
+            sums = np.zeros((hi - lo + 1, BITS), dtype=np.int64)
+            np.cumsum(_signs(hashes[lo:hi]) * _whole(weight)[:, None], axis=0, out=sums[1:])
             prints = _fingerprints(sums[run - lo + count] - sums[run - lo])
             blocks = np.stack([_block(prints, i) for i in range(BLOCKS)], axis=1).tolist()
             for start, p, values in zip(run.tolist(), prints, blocks, strict=True):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import hash_bucket, table, text_of
+from rolecall.llm.common import hash_bucket, looked_up, stored, table, text_of
+from rolecall.session import checkpoint_root
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +51,88 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Totals after five batches over all documents: both tokenizer versions come in; documents whose
+    text stands under a smaller doc_id go; language ``null`` revisions keep counts; a batch comes twice."""
+    import public_tokenizers
+
+    from rolecall.llm import tokencounts as counts
+
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", text_of().alias("text")
+    )
+    counted = stored(
+        counts.bpe_counted(
+            documents.withColumn("words", counts.word_count()).withColumn("same", F.xxhash64("text")),
+            path or public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        ).drop("text"),
+        "counted",
+    )
+    words = counted.withColumn("tokens", F.col("words"))
+    root = f"{checkpoint_root(spark)}/rollups-{uuid.uuid4().hex}"
+    counts.commit(counts.changes(counted, "byte-bpe-50k", 1), root, "bpe-in")
+    counts.commit(counts.changes(words, counts.WORDS_VERSION, 1), root, "words-in")
+    first = counted.groupBy("same").agg(F.min("doc_id").alias("kept"), F.count("*").alias("size"))
+    total = counted.count()
+    copies = looked_up(counted, first.filter("size > 1"), "same", "size", total).filter("doc_id <> kept")
+    gone = counts.changes(copies, "byte-bpe-50k", -1).unionByName(
+        counts.changes(copies.withColumn("tokens", F.col("words")), counts.WORDS_VERSION, -1)
+    )
+    counts.commit(gone, root, "copies-out")
+    # Revised counts: the words version now counts a text's end as a word.
+    kept = looked_up(words, first, "same", "size", total).filter("doc_id = kept OR kept IS NULL")
+    revised = counts.changes(kept, counts.WORDS_VERSION, -1).unionByName(
+        counts.changes(kept.withColumn("tokens", F.col("tokens") + 1), counts.WORDS_VERSION, 1)
+    )
+    counts.commit(revised, root, "words-revised")
+    counts.commit(gone, root, "copies-out")
+    return counts.totals(spark, root)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import warc
+
+    nested = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.page_rows(nested).drop("target_uri")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import langid
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(documents.select("doc_id", "text"), langid.fit(documents))
+    return found.select(
+        "doc_id", (hash_bucket("doc_id", langid.FOLDS) == 2).alias("held_out"),
+        "lang_pred", "score", "distance", "rejected",
+    )
+
+
 QUERIES = {
+    "op5_token_rollups": op5_token_rollups,
+    "op6_warc": op6_warc,
+    "op8_language": op8_language,
     "op2_jaccard_groups": op2_jaccard_groups,
     "op4_decontaminate": op4_decontaminate,
     "op10_pii": op10_pii,
     "op3_bpe": op3_bpe,
     "op9_toxicity": op9_toxicity,
 }
-SQL: dict[str, str] = {}
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SQL: dict[str, str] = {
+    "op6_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
+        b AS (
+          SELECT page_id, payload_bytes, x,
+                 list_aggregate([list_aggregate([
+                   substr('{_B32}', CAST(1 + ((CAST('0x' || substr(x, 1 + 10 * i, 10) AS BIGINT)
+                     >> CAST(35 - 5 * j AS BIGINT)) & 31) AS BIGINT), 1)
+                   FOR j IN range(8)], 'string_agg', '') FOR i IN range(4)], 'string_agg', '')
+                   AS payload_digest,
+                 min(page_id) OVER (PARTITION BY x) AS first
+          FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM b""",
+}
