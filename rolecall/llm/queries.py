@@ -53,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_rollups(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Totals after five batches over all documents: both tokenizer versions come in; documents whose
-    text stands under a smaller doc_id go; language ``null`` revisions keep counts; a batch comes twice."""
+    text stands under a smaller doc_id go; the word counts of the rest are revised; one batch comes twice."""
     import public_tokenizers
 
     from rolecall.llm import tokencounts as counts
@@ -107,7 +107,22 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import extract
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages, extract.train(extract.labelled_pages())).drop("html")
+
+
 QUERIES = {
+    "op7_main_text": op7_main_text,
+    "op1_nearest": op1_nearest,
     "op5_token_rollups": op5_token_rollups,
     "op6_warc": op6_warc,
     "op8_language": op8_language,
