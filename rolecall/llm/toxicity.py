@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -208,76 +209,68 @@ def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def train(bags: list[set[str]], labels: list[int], landmarks: int = 240, rounds: int = 3) -> Model:
-    """Multi-instance SVM over documents' term sets."""
-    labels = np.array(labels)
-    if not len(labels) or labels.min() == labels.max():
-        return Model()
-    counts: dict[str, list[int]] = {}
+def train(bags, labels, landmarks: int = 240, rounds: int = 3) -> Model:
+    """Multi-instance SVM over an iterable of documents' term sets; terms are kept once, as numbers."""
+    place: dict[str, int] = {}
+    held, truth = [], []
     for bag, label in zip(bags, labels, strict=True):
-        for t in bag:
-            counts.setdefault(t, [0, 0])[label] += 1
-    n0, n1 = (labels == 0).sum(), (labels == 1).sum()
-    def gain(t):
-        a, b = (counts[t][1] + 0.1) / (n1 + 1), (counts[t][0] + 0.5) / (n0 + 1)
-        return a * np.log(a / b)
-    gains = {t: gain(t) for t, c in counts.items() if c[1] > 1}
-    gains = gains or {t: gain(t) for t, c in counts.items() if c[1]}
-    ranked = sorted(gains, key=lambda t: (-gains[t], t))
+        held.append(np.fromiter((place.setdefault(t, len(place)) for t in sorted(bag)), np.int32))
+        truth.append(int(label))
+    truth = np.array(truth)
+    if not len(truth) or truth.min() == truth.max():
+        return Model()
+    terms = list(place)
+    del place
+
+    def documents(y):
+        found = [b for b, t in zip(held, truth, strict=True) if t == y]
+        return np.bincount(np.concatenate(found), minlength=len(terms)), len(found)
+
+    (c0, n0), (c1, n1) = documents(0), documents(1)
+    if not c1.any():
+        return Model()
+    a, b = (c1 + 0.1) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
+    often = c1 > 1 if (c1 > 1).any() else c1 > 0
+    gains = np.where(often, a * np.log(a / b), -np.inf)
+    ranked = np.lexsort((np.arange(len(terms)), -gains))[: int(often.sum())]
     # The first witnesses: each toxic document's best explained term.
-    lowest = min(gains.values()) - 1
-    positive = [sorted(b) for b, y in zip(bags, labels, strict=True) if y and b]
-    witness = [max(b, key=lambda t: gains.get(t, lowest)) for b in positive]
-    clean = sorted({t for t, c in counts.items() if c[0]}, key=lambda t: (hash_text(t), t))
-    marks = list(dict.fromkeys(
-        [_windows(t)[0] for t in ranked[: landmarks // 2] + clean[: landmarks // 2]]
-    ))
+    positive = [x for x, t in zip(held, truth, strict=True) if t and len(x)]
+    witness = np.array([x[gains[x].argmax()] for x in positive])
+    clean = np.array(sorted(np.flatnonzero(c0), key=lambda i: (crc32(terms[i].encode("utf-8", "replace")), terms[i])), dtype=int)
+    core = lambda ids: [_windows(terms[i])[0] for i in ids]
+    marks = list(dict.fromkeys(core([*ranked[: landmarks // 2], *clean[: landmarks // 2]])))
     landmark = Landmarks(marks)
-    kll = landmark.kernel(marks)
-    values, vectors = np.linalg.eigh(kll)
+    values, vectors = np.linalg.eigh(landmark.kernel(marks))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     negatives = clean[:12_000]
     model = Model()
     for _ in range(rounds):
-        chosen: dict[str, int] = {}
-        for t in witness:
-            chosen[t] = chosen.get(t, 0) + 1
-        terms = list(chosen) + [t for t in negatives if t not in chosen]
-        y = np.array([1.0] * len(chosen) + [-1.0] * (len(terms) - len(chosen)))
-        weight = np.array([min(chosen[t], 20) for t in chosen] + [1.0] * (len(terms) - len(chosen)))
-        weight[: len(chosen)] *= max(1.0, (y < 0).sum() / max(1, weight[: len(chosen)].sum())) ** 0.5
-        x = landmark.kernel([_windows(t)[0] for t in terms]) @ root
-        v, bias = _svm(x, y, weight)
-        alpha = root @ v
+        chosen, times = np.unique(witness, return_counts=True)
+        ids = np.r_[chosen, np.setdiff1d(negatives, chosen)]
+        y = np.where(np.arange(len(ids)) < len(chosen), 1.0, -1.0)
+        weight = np.ones(len(ids))
+        weight[: len(chosen)] = np.minimum(times, 20)
+        weight[: len(chosen)] *= max(1.0, (y < 0).sum() / weight[: len(chosen)].sum()) ** 0.5
+        v, bias = _svm(landmark.kernel(core(ids)) @ root, y, weight)
         table = np.zeros(ALPHABET ** 3)
         m = _matrix(marks)
-        scaled = alpha / _norms(m)
+        scaled = (root @ v) / _norms(m)
         for code, w in _triples(m):
             np.add.at(table, code, w * scaled[:, None])
         table[0] = 0
         model = Model(table, float(bias))
-        known = list(counts)
-        score = dict(zip(known, term_scores(known, table, model.bias), strict=True))
-        witness = [max(b, key=score.__getitem__) for b in positive]
+        score = term_scores(terms, table, model.bias)
+        witness = np.array([x[score[x].argmax()] for x in positive])
         # Clean terms that come out highest join the negatives.
-        hard = sorted((t for t, c in counts.items() if c[0]), key=lambda t: -score[t])[:3000]
-        negatives = list(dict.fromkeys(negatives + hard))
-    lowest = min(score.values())
-    model.floor = float(lowest)
-    margins = np.array([max((score[t] for t in b), default=lowest) for b in bags])
-    model.slope, model.offset = _platt(margins, labels)
+        hard = clean[np.argsort(-score[clean], kind="stable")[:3000]]
+        negatives = np.union1d(negatives, hard)
+    model.floor = float(score.min())
+    margins = np.array([score[x].max() if len(x) else model.floor for x in held])
+    model.slope, model.offset = _platt(margins, truth)
     return model
 
 
-def hash_text(text: str) -> int:
-    """A stable order of strings, the same in each process."""
-    h = 2166136261
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return h
-
-
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_bags: int) -> DataFrame:
     """``text``, ``label`` of at most ``max_bags`` documents a class outside the held-out fold."""
     truth = (
@@ -296,9 +289,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_bags: int) -> D
     ).select(text_of().alias("text"), "_label")
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_bags: int = 1500) -> Model:
-    rows = labelled_sample(documents, labels, max_bags).toPandas()
-    return train([text_terms(t) for t in rows["text"]], [int(y) for y in rows["_label"]])
+def fit(documents: DataFrame, labels: DataFrame, max_bags: int = 1000) -> Model:
+    rows = labelled_sample(documents, labels, max_bags).collect()
+    return train((text_terms(r.text) for r in rows), [r["_label"] for r in rows])
 
 
 _MEMO: dict[str, Recent] = {}
