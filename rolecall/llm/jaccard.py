@@ -8,8 +8,10 @@ documents link when 100 * intersection >= 75 * union. Equal sets form a class, j
    document whose prefix (the n - ceil(0.75 n) + 1 rarest shingles) is all unique links to nothing
    and leaves here; of the others only shared shingles go on.
 2. *Index-level skipping.* Lists of the prefix shingles are sorted by set size and cut in blocks by
-   position. Size and position bound the intersection from above, so whole blocks are skipped. A list
-   first offers each set to one leader only, not to all others: copies number their list's length.
+   position. Size and position bound the intersection from above, so whole blocks are skipped; what
+   is left must also pass a bound on the difference by parity maps. A list first offers each set to
+   one leader only, not to all others; a second round offers sets outside a list's largest component
+   to their neighbours in it. So copies cost as many comparisons as their lists are long.
 3. *Answer-level skipping.* A set verified as similar to its leader is kept as the two differences.
    Sets of other components are compared with a leader, and the answers for all its members are
    derived from that one intersection by the differences; no pair within a component is looked at.
@@ -36,6 +38,7 @@ BLOCK = 1_000_000  # shingles that a task packs at a time
 LIST_ROWS = 500_000  # postings of a group of lists, on average
 MEMBERS = 4096  # members of a salted group, on average
 SKIP = 64  # entries of a skip block
+BITS = 512  # of a set's parity map
 _LOW = np.uint64(0xFFFF)
 
 
@@ -242,14 +245,59 @@ def _to_leaders(group: pa.Table) -> pa.Table:
     return _pairs(np.concatenate(a) if a else [], np.concatenate(b) if b else [])
 
 
+def _with_parity(sets: DataFrame) -> DataFrame:
+    """``bits``: for each of BITS places, whether an odd number of shared shingles falls on it.
+
+    The places in which two maps differ are at most the elements in which the sets do.
+    """
+
+    def run(batches):
+        for batch in batches:
+            maps = [
+                np.packbits(np.bincount(x.values.to_numpy() % BITS, minlength=BITS) & 1).tobytes()
+                for x in batch.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(maps, pa.binary())], names=["key", "bits"]
+            )
+
+    maps = sets.select("key", "shared").mapInArrow(run, "key long, bits binary")
+    return sets.join(maps, "key")
+
+
+def _again(group: pa.Table) -> pa.Table:
+    """Sets outside their list's largest component, offered to the next sets of other components."""
+    (_, n, key, at, root), starts, ends = _sorted_lists(group, "root")
+    a, b = [], []
+    for lo, hi in zip(starts, ends, strict=True):
+        r = root[lo:hi]
+        if (r == r[0]).all():
+            continue
+        names, counts = np.unique(r, return_counts=True)
+        asking = np.flatnonzero(r != names[np.argmax(counts)])
+        answer = np.flatnonzero(r == names[np.argmax(counts)])
+        near = np.searchsorted(answer, asking)
+        for step in (-1, 0):
+            other = answer[np.clip(near + step, 0, len(answer) - 1)]
+            x, y = lo + asking, lo + other
+            most = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])
+            fits = most >= least_common(n[x], n[y])
+            a.append(key[y][fits])
+            b.append(key[x][fits])
+    return _pairs(np.concatenate(a) if a else [], np.concatenate(b) if b else [])
+
+
 def _across(group: pa.Table) -> pa.Table:
-    """Sets and leaders of sets in other components that share a list and may link.
+    """Sets (``a``) with the leaders (``b``) of sets in other components that share a list and may link.
 
     A list's largest component does not ask; the others ask all but their own. Blocks of SKIP
     entries are passed over whole when their sizes or positions rule a link out.
     """
-    (_, n, key, at, root, leader), starts, ends = _sorted_lists(group, "root", "leader")
-    a, b = [], []
+    (_, n, key, at, root, leader, unique, bits), starts, ends = _sorted_lists(
+        group, "root", "leader", "unique", "bits"
+    )
+    bits = np.frombuffer(b"".join(bits.tolist()), dtype=np.uint64).reshape(-1, BITS // 64)
+    wanted: dict[int, set[int]] = {}
     for lo, hi in zip(starts, ends, strict=True):
         r = root[lo:hi]
         if (r == r[0]).all():
@@ -269,10 +317,16 @@ def _across(group: pa.Table) -> pa.Table:
                 most = np.minimum(n[x] - at[x], n[c:to] - at[c:to]) + np.minimum(at[x], at[c:to])
                 fits = (most >= least_common(n[x], n[c:to])) & (root[c:to] != root[x])
                 fits &= (4 * n[c:to] >= 3 * n[x]) & (3 * n[c:to] <= 4 * n[x])
-                found = np.unique(leader[c:to][fits])
-                a.append(np.full(len(found), key[x]))
-                b.append(found)
-    return _pairs(np.concatenate(a) if a else [], np.concatenate(b) if b else [])
+                if fits.any():
+                    # Elements that the sets do not share: unique ones, and at least the parity's.
+                    apart = np.bitwise_count(bits[x] ^ bits[c:to]).sum(axis=1) + unique[x] + unique[c:to]
+                    fits &= apart <= n[x] + n[c:to] - 2 * least_common(n[x], n[c:to])
+                if fits.any():
+                    wanted.setdefault(int(key[x]), set()).update(leader[c:to][fits].tolist())
+    return pa.table({
+        "a": pa.array(list(wanted), pa.int64()),
+        "b": pa.array([sorted(v) for v in wanted.values()], pa.list_(pa.int64())),
+    })
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -349,6 +403,13 @@ def linked(sets: DataFrame) -> DataFrame:
     pairs = _lists(sets, []).applyInArrow(_to_leaders, "a long, b long").distinct()
     links = stored(_verified(pairs, sets), "links")
     roots = components(links.select("a", "b"))
+    # A second offer, to sets of the component that the first one made largest in each list.
+    placed = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "root", F.coalesce("root", "key")
+    )
+    pairs = _lists(placed, ["root"]).applyInArrow(_again, "a long, b long").distinct()
+    links = links.unionByName(stored(_verified(pairs, sets), "links"))
+    roots = components(links.select("a", "b"))
     # The leader of a set is the most similar one it is linked to; else the set itself.
     led = links.groupBy(F.col("b").alias("key")).agg(
         F.max_by(F.struct(F.col("a").alias("leader"), "plus", "minus"),
@@ -363,7 +424,13 @@ def linked(sets: DataFrame) -> DataFrame:
         "known",
     )
     asked = stored(
-        _lists(known, ["root", "leader"]).applyInArrow(_across, "a long, b long").distinct(), "asked"
+        _lists(
+            _with_parity(known).withColumn("unique", F.col("first")),
+            ["root", "leader", "unique", "bits"],
+        ).applyInArrow(_across, "a long, b array<long>")
+        .groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
+        .select("a", F.explode("b").alias("b")),
+        "asked",
     )
     none = F.array().cast("array<long>")
     members = known.select(
