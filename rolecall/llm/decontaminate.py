@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rolecall.llm.common import text_of
 from rolecall.llm.shingles import WORDS, shingle_hashes, word_hashes
 
-BITS, BLOCKS, RADIUS = 64, 5, 19
+BITS, BLOCKS, RADIUS = 64, 6, 23
 ITEMS, ITEM_WORDS = 4096, 2_000_000  # of a part: items, and words beyond which it is closed
 LEAST = 0.75
 _EDGES = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
