@@ -31,7 +31,7 @@ from rolecall.llm.shingles import WORDS, shingle_hashes, word_hashes
 
 BITS, BLOCKS, RADIUS = 64, 6, 23
 ITEMS, ITEM_WORDS = 4096, 2_000_000  # of a part: items, and words beyond which it is closed
-LEAST = 0.75
+LEAST = 0.75  # up to rounding
 _EDGES = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
 _STATE: dict = {}
 
@@ -150,7 +150,7 @@ class Index:
                     w = weight[first + start - lo]
                     both = w[common].sum()
                     score = float(both / (w.sum() + self.totals[item] - both))
-                    if score >= least and score > best.get(item, (0,))[0]:
+                    if score >= least - 1e-9 and score > best.get(item, (0,))[0]:
                         bits = int(np.bitwise_count(self.prints[item] ^ p))
                         best[item] = (score, start, min(length, count + size - 1), bits)
 

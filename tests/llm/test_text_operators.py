@@ -129,12 +129,12 @@ def test_decontamination_equals_brute_force(spark, texts):
                 window = set(shingle_hashes(w[s:s + len(own)]).tolist())
                 both = sum(map(weight, window & target))
                 score = both / (sum(map(weight, window | target)))
-                if score >= 0.75 and score > want.get((doc, item), 0):
+                if score >= 0.75 - 1e-9 and score > want.get((doc, item), 0):
                     want[doc, item] = score
     found = decontaminate.matches(documents(spark, rows), bench).collect()
     got = {(r.doc_id, r.item_id): r.similarity for r in found}
     assert len(found) == len(got) and len(want) > 20
-    assert got.keys() == want.keys()
+    assert got.keys() == want.keys(), [(k, want.get(k)) for k in got.keys() ^ want.keys()]
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     kept = {r.doc_id for r in decontaminate.clean(documents(spark, rows), bench).collect()}
     assert kept == {d for d, *_ in rows} - {d for d, _ in want}
@@ -197,7 +197,7 @@ def test_disclosing_terms_are_found_and_common_ones_are_not(spark):
     for r in found:
         assert r.n_terms == (1 if 300 <= r.doc_id < 305 else 0), r
         assert r.n_email == (1 if 300 <= r.doc_id < 305 else 0)
-    clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, rows[:210] + rows[-2:])).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, rows)).collect()}
     assert "zorblat" not in clean[300] and "ann@" not in clean[300] and "[EMAIL] common" in clean[300]
     assert clean[10] == rows[10][1]
 
