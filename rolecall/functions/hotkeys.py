@@ -11,9 +11,6 @@ from rolecall.session import cut_lineage
 # fewer than MAX_HOT hot groups whatever the data: the broadcast below has a fixed bound.
 MAX_HOT = 1000
 
-# Largest relation a single sorting task is given; beyond it the range-partitioned way is used.
-SINGLE_TASK_ROWS = 1_000_000
-
 
 def keep_members(rows: DataFrame, groups: DataFrame, key: str, size: str = "n") -> DataFrame:
     """Rows whose key occurs in ``groups(key, size)``, which has one row per key.
@@ -41,22 +38,11 @@ def keep_members(rows: DataFrame, groups: DataFrame, key: str, size: str = "n")
     )
 
 
-def running_total(
-    df: DataFrame,
-    value: str,
-    order,
-    into: str,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def running_total(df: DataFrame, value: str, order, into: str) -> DataFrame:
     """``into`` = sum of ``value`` over all rows up to this one in ``order`` (a total order).
 
-    ``df`` is an aggregated, stored table: its size is checked first. Up to
-    ``single_task_rows`` rows one task sums it; a larger one is cut into ranges, summed per
-    range and shifted by the sums before it.
+    ``df`` is cut into ranges, summed per range and shifted by the sums before it.
     """
-    frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if df.count() <= single_task_rows:
-        return df.withColumn(into, F.sum(value).over(frame))
     # The cut into ranges is stored before use, so both readers below see the same ranges.
     ranges = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     # One row per range: as many rows as partitions, hence one small task.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecall.errors import StatisticsInput, require_columns
-from rolecall.functions.hotkeys import SINGLE_TASK_ROWS, running_total
+from rolecall.functions.hotkeys import running_total
 from rolecall.functions.text import is_blank
 from rolecall.session import cut_lineage
 from rolecall.spec import PRODUCT, VENDOR
@@ -55,7 +55,7 @@ def _total(pairs: DataFrame):
     return pairs.filter(F.col(VENDOR).isNotNull()).agg(F.sum("record_count")).scalar()
 
 
-def vendor_summary(pairs: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def vendor_summary(pairs: DataFrame) -> DataFrame:
     """Leaderboard with share and cumulative share in rank order (count, then name).
 
     The vendor table is stored once, because its size decides how the running sum is made.
@@ -63,7 +63,7 @@ def vendor_summary(pairs: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -
     """
     vendors = cut_lineage(vendor_counts(pairs))
     order = [F.desc("record_count"), F.asc(VENDOR)]
-    ranked = running_total(vendors, "record_count", order, "_running", single_task_rows)
+    ranked = running_total(vendors, "record_count", order, "_running")
     total = _total(vendors)
     return ranked.select(
         VENDOR,

@@ -18,7 +18,6 @@ from rolecall.functions.text import (
     full_match,
     has_edge_whitespace,
     is_blank,
-    is_empty_text,
     strip,
 )
 from rolecall.spec import BOOKKEEPING, MISTYPED, ROW_INDEX, CatalogSpec
@@ -48,8 +47,6 @@ PROFILE_COLUMNS = [
     "field", "dtype", "row_count", "non_null_count", "null_count", "empty_string_count",
     "unique_count",
 ]
-LONG_TEXT = 64  # longer values are compared by their SHA-256 digest instead of being shuffled
-BLANK_DIGEST = "blank-sha256:"
 
 
 @dataclass(frozen=True)
@@ -383,39 +380,35 @@ def in_order(found: DataFrame) -> DataFrame:
 
 
 def _profile_key(df: DataFrame, name: str) -> Column:
-    """The cell as text; beyond LONG_TEXT its digest, which no shorter text can equal."""
+    """The cell's value as its digest, with a column of its own that says whether it is blank."""
     kind = df.schema[name].dataType
     text = F.to_json(name) if isinstance(kind, T.ArrayType) else F.col(name).cast("string")
-    if not isinstance(kind, (T.ArrayType, T.StringType)):
-        return text.alias(name)
-    mark = F.when(strip(text) == "", F.lit(BLANK_DIGEST)).otherwise(F.lit("sha256:"))
-    digest = F.concat(mark, F.sha2(text, 256))
-    return F.when(F.length(text) > LONG_TEXT, digest).otherwise(text).alias(name)
+    blank = strip(text) == "" if isinstance(kind, T.StringType) else F.lit(False)
+    return F.struct(
+        F.sha2(text, 256).alias("value"), F.coalesce(blank, F.lit(False)).alias("blank")
+    ).alias(name)
 
 
 def field_profile(df: DataFrame) -> DataFrame:
     """Per column: type, rows, nulls, whitespace-only strings and distinct values.
 
     Values are counted per (field, value) before they are counted per field, so a value that
-    fills a third of a column is one partial row per task. Long text travels as its digest.
+    fills a third of a column is one partial row per task. Values travel as their digests.
     """
     names = data_columns(df)
     kinds = {n: df.schema[n].dataType for n in names}
     values = (
         df.select(*[_profile_key(df, n) for n in names])
-        .unpivot([], names, "field", "value")
-        .groupBy("field", "value")
+        .unpivot([], names, "field", "cell")
+        .groupBy("field", "cell.value", "cell.blank")
         .agg(F.count("*").alias("n"))
     )
-    texts = [n for n in names if isinstance(kinds[n], T.StringType)]
-    blank = is_empty_text(F.col("value")) | F.startswith("value", F.lit(BLANK_DIGEST))
-    empty = F.col("field").isin(*texts) & blank
     known = F.col("value").isNotNull()
     profile = values.groupBy("field").agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(known, F.col("n")).otherwise(0)).alias("non_null_count"),
         F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("null_count"),
-        F.sum(F.when(empty, F.col("n")).otherwise(0)).alias("empty_string_count"),
+        F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("empty_string_count"),
         F.count("value").alias("unique_count"),
     )
     pairs = [F.lit(x) for n in names for x in (n, kinds[n].simpleString())]

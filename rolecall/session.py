@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        if named is None and not spark.sparkContext.master.startswith("local"):
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
     return named or spark.sparkContext.getCheckpointDir()

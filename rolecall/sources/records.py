@@ -10,10 +10,6 @@ from rolecall.sources.envelope import checked_records
 from rolecall.spec import ROW_INDEX, SOURCE, VULNERABILITY_FEED, CatalogSpec
 
 
-# A start position per file is broadcast up to this many files, some 200 bytes each.
-BROADCAST_FILES = 50_000
-
-
 def read_record_lines(
     spark: SparkSession,
     path,
@@ -39,7 +35,6 @@ def read_record_parquet(spark: SparkSession, path, with_row_index: bool = True)
     rows = spark.read.parquet(path)
     if not with_row_index:
         return rows
-    files = len(rows.inputFiles())
     names = rows.columns
     rows = rows.select(
         *names,
@@ -50,8 +45,6 @@ def read_record_parquet(spark: SparkSession, path, with_row_index: bool = True)
     before = Window.orderBy(SOURCE).rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(SOURCE).agg((F.max("_position") + 1).alias("_rows"))
     starts = starts.select(SOURCE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    if files <= BROADCAST_FILES:
-        starts = F.broadcast(starts)
     joined = rows.join(starts, SOURCE)
     return joined.select(
         *names, (F.col("_start") + F.col("_position")).cast("bigint").alias(ROW_INDEX), SOURCE

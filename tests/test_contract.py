@@ -11,7 +11,11 @@ from check_oracle import bag
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-QUERIES = contract.queries() if os.path.isdir(SF) else {}
+# The training-data queries have tests of their own.
+QUERIES = {
+    n: q for n, q in (contract.queries() if os.path.isdir(SF) else {}).items()
+    if not n.startswith("op") and n != "pipeline"
+}
 FITTED = [n for n in QUERIES if n.startswith("cluster")]
 
 

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+
+from rolecall.operators.quality import field_profile
 from pyspark.sql import functions as F
 
 from rolecall.errors import RecordMismatch
@@ -192,3 +194,19 @@ def test_prepare_derives_and_quarantines(spark):
     assert sorted(i for i, _ in err.value.context["rows"]) == [1, 2, 3, 4]
     with pytest.raises(RecordMismatch):
         prepare(raw_frame(spark, rows).drop("notes"), FEED)
+
+
+def test_profile_takes_values_literally(spark):
+    df = spark.createDataFrame([("blank-sha256:note",), ("x",), ("  ",), (None,)], "note string")
+    row = field_profile(df).first()
+    assert (row.empty_string_count, row.unique_count, row.null_count) == (1, 3, 1)
+
+
+def test_fingerprint_sees_moved_nulls_and_list_members(spark):
+    from rolecall.plans.publish import fingerprint
+
+    schema = "a string, b string, c array<string>, d array<string>"
+    one = spark.createDataFrame([("x", None, ["p", "q"], ["r"])], schema)
+    moved = spark.createDataFrame([(None, "x", ["p", "q"], ["r"])], schema)
+    traded = spark.createDataFrame([("x", None, ["p"], ["q", "r"])], schema)
+    assert len({fingerprint(f).first().fingerprint for f in (one, moved, traded)}) == 3

@@ -129,10 +129,9 @@ def test_status_tables(spark, prepared, pandas_rows):
         status.analyze(prepared.withColumn("added_year", F.lit(None).cast("bigint")), FEED)
 
 
-@pytest.mark.parametrize("single_task_rows", [1000, 3])
-def test_vendor_leaderboard(spark, prepared, pandas_rows, single_task_rows):
+def test_vendor_leaderboard(spark, prepared, pandas_rows):
     pairs = concentration.pair_counts(prepared)
-    got = concentration.vendor_summary(pairs, single_task_rows)
+    got = concentration.vendor_summary(pairs)
     got = got.orderBy(F.desc("record_count"), "vendor_clean").toPandas()
     want = (
         pandas_rows.groupby("vendor_clean")
