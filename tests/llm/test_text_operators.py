@@ -251,7 +251,7 @@ def test_language_of_held_out_texts(spark):
 
 @pytest.fixture(scope="module")
 def field():
-    return extract.train(extract.labelled_pages(300))
+    return extract.train(extract.labelled_pages())  # as the registered query does
 
 
 def test_main_text_of_pages_not_seen(field):
