@@ -58,8 +58,7 @@ def _total(pairs: DataFrame):
 def vendor_summary(pairs: DataFrame) -> DataFrame:
     """Leaderboard with share and cumulative share in rank order (count, then name).
 
-    The vendor table is stored once, because its size decides how the running sum is made.
-    The sum adds integers and divides once, so the last share is exactly 1.
+    The vendor table is stored once for the running sum and the total. The sum adds integers and divides once, so the last share is exactly 1.
     """
     vendors = cut_lineage(vendor_counts(pairs))
     order = [F.desc("record_count"), F.asc(VENDOR)]
@@ -74,6 +73,13 @@ def vendor_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
+def vendor_curve(pairs: DataFrame) -> DataFrame:
+    """Rank and cumulative share of every vendor, the points of the concentration curve."""
+    order = [F.desc("record_count"), F.asc(VENDOR)]
+    ranked = running_total(vendor_summary(pairs).withColumn("_one", F.lit(1)), "_one", order, "rank")
+    return ranked.select(F.col("rank").cast("bigint"), VENDOR, "record_count", "cumulative_share")
+
+
 def product_summary(pairs: DataFrame) -> DataFrame:
     named = pairs.filter(F.col(VENDOR).isNotNull() & F.col(PRODUCT).isNotNull())
     return named.withColumn("share", F.col("record_count") / _total(pairs))

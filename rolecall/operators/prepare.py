@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from rolecall.errors import RecordMismatch, require_columns
 from rolecall.functions.dates import day, month_label, year_number
+from rolecall.functions.guards import offenders
 from rolecall.functions.text import strip
 from rolecall.spec import DAYS, MISTYPED, MONTH, PRODUCT, ROW_INDEX, VENDOR, YEAR, CatalogSpec
 
-SHOWN_ROWS = 20
-
 
 def _faults(df: DataFrame, spec: CatalogSpec) -> list[tuple[Column, str]]:
     """(condition, reason) pairs that keep a raw row from being prepared; never null."""
@@ -55,7 +54,7 @@ def prepare(
     """(prepared, rejected). Narrow: no shuffle, no sort, input order kept.
 
     ``quarantine`` sets rejected rows aside with their ``reject_reasons``; ``fail`` raises when
-    there is any, naming the first few.
+    there is any, naming the first few and the table of all.
     """
     if mode not in ("quarantine", "fail"):
         raise ValueError("mode must be 'quarantine' or 'fail'")
@@ -68,10 +67,11 @@ def prepare(
     rejected = df.filter(any_fault).withColumn("reject_reasons", reasons)
     if mode == "fail":
         place = ROW_INDEX if ROW_INDEX in df.columns else spec.id
-        shown = rejected.select(place, "reject_reasons").limit(SHOWN_ROWS).collect()
+        shown, all_of_them = offenders(rejected.select(place, "reject_reasons"), "prepare")
         if shown:
             raise RecordMismatch(
                 "records cannot be prepared",
                 rows=[(r[0], list(r.reject_reasons)) for r in shown],
+                **all_of_them,
             )
     return _derive(df.filter(~any_fault).drop(MISTYPED), spec), rejected

@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.errors import BadDateRange, BadStatus, BadTag, MissingColumns, require_columns
+from rolecall.functions.guards import offenders
 from rolecall.functions.text import contains_ci
 from rolecall.spec import PRODUCT, ROW_INDEX, VENDOR, YEAR, CatalogSpec
 
-SHOWN_ROWS = 20
-
 
 @dataclass(frozen=True)
 class Criteria:
@@ -109,9 +108,11 @@ def conditions(criteria: Criteria, spec: CatalogSpec) -> Conditions:
 def check_lists(df: DataFrame, spec: CatalogSpec) -> None:
     """A tag search needs a list in every row. One column, null counts prune most of the scan."""
     place = ROW_INDEX if ROW_INDEX in df.columns else spec.id
-    bad = df.filter(F.col(spec.tags).isNull()).select(place).limit(SHOWN_ROWS).collect()
+    bad, all_of_them = offenders(df.filter(F.col(spec.tags).isNull()).select(place), "search")
     if bad:
-        raise MissingColumns("a tag search needs a list in every row", rows=[r[0] for r in bad])
+        raise MissingColumns(
+            "a tag search needs a list in every row", rows=[r[0] for r in bad], **all_of_them
+        )
 
 
 def summary(rows: DataFrame, spec: CatalogSpec) -> DataFrame:

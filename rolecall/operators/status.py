@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.errors import StatisticsInput, require_columns
+from rolecall.functions.guards import offenders
 from rolecall.spec import YEAR, CatalogSpec, slug
 
 
@@ -88,9 +89,10 @@ def check_counts(counts: DataFrame, spec: CatalogSpec) -> None:
     if row.missing:
         raise StatisticsInput(f"status and {YEAR} must not be missing")
     outside = counts.filter(~F.col("status").isin(*spec.status_domain)).select("status").distinct()
-    bad = sorted(r.status for r in outside.limit(20).collect())
+    bad, all_of_them = offenders(outside, "status")
     if bad:
-        raise StatisticsInput(f"unsupported status values: {bad}")
+        shown = sorted(r.status for r in bad)
+        raise StatisticsInput(f"unsupported status values: {shown} {all_of_them}")
 
 
 def analyze(df: DataFrame, spec: CatalogSpec, check: bool = True) -> StatusResult:

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.errors import MissingColumns, RecordMismatch, require_columns
+from rolecall.functions.guards import offenders
 from rolecall.functions.text import full_match
 from rolecall.operators.status import unsupported_statuses
 from rolecall.spec import PRODUCT, ROW_INDEX, VENDOR, CatalogSpec
 
-SHOWN_ROWS = 20
-
 
 @dataclass(frozen=True)
 class TagResult:
@@ -33,17 +32,22 @@ def bad_members(spec: CatalogSpec):
 
 
 def check_tags(df: DataFrame, spec: CatalogSpec) -> None:
-    """Refuse null lists, bad members and unknown statuses, naming the first few rows."""
+    """Refuse null lists and bad members, naming the first few rows and the table of all."""
     place = ROW_INDEX if ROW_INDEX in df.columns else spec.id
     no_list = F.col(spec.tags).isNull()
     bad = df.filter(no_list | (F.size(bad_members(spec)) > 0))
     shown = bad.select(F.col(place).alias("place"), no_list.alias("no_list"))
-    rows = shown.orderBy(F.desc("no_list")).limit(SHOWN_ROWS).collect()
-    if rows and rows[0].no_list:
-        places = [r.place for r in rows if r.no_list]
-        raise RecordMismatch(f"{spec.tags} must be a list in every row", rows=places)
+    # Which message it is follows from all offenders: a missing list outweighs bad members.
+    rows, all_of_them = offenders(shown.filter("no_list"), "tags")
+    if rows:
+        raise RecordMismatch(
+            f"{spec.tags} must be a list in every row", rows=[r.place for r in rows], **all_of_them
+        )
+    rows, all_of_them = offenders(shown, "tags")
     if rows:
-        raise RecordMismatch(f"{spec.tags} has invalid members", rows=[r.place for r in rows])
+        raise RecordMismatch(
+            f"{spec.tags} has invalid members", rows=[r.place for r in rows], **all_of_them
+        )
 
 
 def long_table(
@@ -160,9 +164,11 @@ def analyze(
     """The long table is built once and kept for its three summaries."""
     long = long_table(df, spec, unique_ids, check).persist()
     if check:
-        bad = sorted(r[0] or "" for r in unsupported_statuses(long, spec).limit(20).collect())
-        if bad or long.filter(F.col(spec.status).isNull()).limit(1).count():
-            raise RecordMismatch("unsupported status values", values=bad)
+        found, all_of_them = offenders(unsupported_statuses(long, spec), "status")
+        if found or not long.filter(F.col(spec.status).isNull()).isEmpty():
+            raise RecordMismatch(
+                "unsupported status values", values=sorted(r[0] or "" for r in found), **all_of_them
+            )
     return TagResult(
         in_order(long, spec),
         overall(df, long, spec),

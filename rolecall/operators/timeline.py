@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecall.errors import StatisticsInput, require_columns
 from rolecall.functions.dates import month_label
+from rolecall.functions.guards import offenders
 from rolecall.spec import MONTH, YEAR, CatalogSpec
 
 
@@ -101,11 +102,13 @@ def check_months(observed: DataFrame, start: str | None, end: str | None) -> Non
         outside |= F.col(MONTH) < start
     if end:
         outside |= F.col(MONTH) > end
-    bad = [r[0] for r in observed.filter(outside).select(MONTH).orderBy(MONTH).limit(20).collect()]
-    if None in bad:
+    bad = observed.filter(outside).select(MONTH)
+    if not bad.filter(F.col(MONTH).isNull()).isEmpty():
         raise StatisticsInput("the opening day must not be missing")
-    if bad:
-        raise StatisticsInput(f"months outside the stated period: {bad}")
+    shown, all_of_them = offenders(bad, "months")
+    if shown:
+        months = sorted(r[0] for r in shown)
+        raise StatisticsInput(f"months outside the stated period: {months} {all_of_them}")
 
 
 def analyze(df: DataFrame, spec: CatalogSpec, check: bool = True) -> Timeline:

@@ -24,8 +24,13 @@ from rolecall.operators import (
     textcluster,
     timeline,
 )
-from rolecall.plans.publish import Publisher, fingerprint, source_digest
-from rolecall.plans.registry import missing_outputs, registry, required_outputs
+from rolecall.plans.publish import MANIFEST, Publisher, fingerprint, source_digest
+from rolecall.plans.registry import (
+    metadata_output,
+    missing_outputs,
+    registry,
+    required_outputs,
+)
 from rolecall.session import checkpoint_root, cut_lineage
 from rolecall.sources import envelope, records
 from rolecall.spec import DAYS, DEFAULT_SEED, MONTH, VULNERABILITY_FEED, YEAR, CatalogSpec
@@ -71,13 +76,10 @@ def _digest(spark: SparkSession, config: RunConfig, raw: DataFrame) -> str:
     return row.only if row.n == 1 else row.combined
 
 
-def _ingest(spark: SparkSession, config: RunConfig, run_id: str):
-    """(metadata or None, stored raw records)."""
-    if config.input_kind not in INPUT_KINDS:
-        raise ValueError(f"input_kind must be one of {INPUT_KINDS}")
+def _ingest(spark: SparkSession, config: RunConfig, landing: str):
+    """(metadata or None, raw records, stored in ``landing`` unless they are Parquet already)."""
     if config.input_kind == "parquet":
         return None, records.read_record_parquet(spark, config.source)
-    landing = f"{checkpoint_root(spark)}/landed-{run_id}"
     if config.input_kind == "record_lines":
         return None, records.read_record_lines(spark, config.source, config.spec, landing)
     by_line = config.input_kind == "envelope_lines"
@@ -138,12 +140,6 @@ def _analyses(prepared: DataFrame, config: RunConfig):
         yield f"{spec.tag_label}_overall_summary", tags.overall(prepared, long, spec)
         yield f"{spec.tag_label}_{spec.positive_key}_summary", tags.positive(prepared, long, spec)
         yield f"{spec.tag_label}_{spec.other_key}_summary", tags.other(prepared, long, spec)
-        found = cases.run_cases(
-            prepared, spec, config.cases, unique_ids=True, checked=True, store=True
-        )
-        yield "query_cases_summary", found.summary
-        yield "query_case", found.rows
-
     if config.clustering:
         result = textcluster.analyze(
             prepared, spec, config.candidate_k, config.seed, config.n_init
@@ -156,29 +152,51 @@ def _analyses(prepared: DataFrame, config: RunConfig):
 
 
 def _finish(out: Publisher, state: str, config: RunConfig, digest: str) -> DataFrame:
-    path = f"{out.root}/manifests/run_manifest"
+    path = f"{out.root}/{MANIFEST}"
     out.manifest(state, config.source, digest).coalesce(1).write.mode("overwrite").json(path)
     return out.manifest(state, config.source, digest)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_core(spark: SparkSession, config: RunConfig) -> tuple[Publisher, DataFrame | None, str]:
-    """Ingest, check and, if the input is valid, publish the prepared table and return it."""
+    """Ingest, check and, if the input is valid, publish the prepared table and return it.
+
+    What an earlier run of the same id has published goes first; the landed records go at the end.
+    """
+    if config.input_kind not in INPUT_KINDS:
+        raise ValueError(f"input_kind must be one of {INPUT_KINDS}")
     run_id = config.run_id or uuid.uuid4().hex[:12]
     out = Publisher(spark, f"{config.output_root.rstrip('/')}/run-{run_id}", config.format)
-    metadata, raw = _ingest(spark, config, run_id)
-    digest = _digest(spark, config, raw)
-    if metadata is not None:
-        metadata.coalesce(1).write.mode("overwrite").json(f"{out.root}/validation/metadata")
-    if not _publish_quality(out, raw, config.spec, metadata):
-        return out, None, digest
-    prepared, _ = prepare.prepare(raw, config.spec, mode="fail")
-    table = registry(config.spec)[f"{config.spec.name}_prepared"]
-    target = out.write(prepared, table)
-    if config.format == "parquet":
-        stored = spark.read.schema(prepared.schema).parquet(target).select(*prepared.columns)
-    else:
-        stored = cut_lineage(prepared)
-    return out, stored, digest
+    out.clear(config.spec)
+    landing = f"{checkpoint_root(spark)}/landed-{run_id}-{uuid.uuid4().hex}"
+    try:
+        metadata, raw = _ingest(spark, config, landing)
+        digest = _digest(spark, config, raw)
+        if metadata is not None:
+            out.write(metadata, metadata_output(metadata.columns))
+        if not _publish_quality(out, raw, config.spec, metadata):
+            return out, None, digest
+        prepared, _ = prepare.prepare(raw, config.spec, mode="fail")
+        table = registry(config.spec)[f"{config.spec.name}_prepared"]
+        target = out.write(prepared, table)
+        if config.format == "parquet":
+            stored = spark.read.schema(prepared.schema).parquet(target).select(*prepared.columns)
+        else:
+            stored = cut_lineage(prepared)
+        return out, stored, digest
+    finally:
+        _remove(spark, landing)
+
+
+def run_data_core(spark: SparkSession, config: RunConfig) -> RunResult:
+    """The run up to the prepared table, with a manifest of its own."""
+    out, prepared, digest = run_core(spark, config)
+    state = "validation_failed" if prepared is None else "data_core_complete"
+    return RunResult(state, out.root, _finish(out, state, config, digest))
 
 
 def run(spark: SparkSession, config: RunConfig) -> RunResult:
@@ -188,18 +206,22 @@ def run(spark: SparkSession, config: RunConfig) -> RunResult:
         return RunResult(
             "validation_failed", out.root, _finish(out, "validation_failed", config, digest)
         )
-    tables = registry(config.spec)
+    spec, tables = config.spec, registry(config.spec)
     for name, table in _analyses(prepared, config):
         out.write(table, tables[name])
-        if name == "query_case":
-            # A case without rows has no partition, yet it was run: the summary counts it.
-            summary = next(r for r in out.records if r["name"] == "query_cases_summary")
-            out.records[-1]["parts"] = summary["row_count"]
-    manifest = _finish(out, "complete", config, digest)
-    lacking = missing_outputs(
-        required_outputs(spark, config.spec, config.clustering), manifest
-    ).select("path")
+    if spec.tags:
+        found = cases.run_cases(
+            prepared, spec, config.cases, unique_ids=True, checked=True, store=True
+        )
+        out.write_cases(found, spec)
+    check_complete(out, spec, config.clustering)
+    return RunResult("complete", out.root, _finish(out, "complete", config, digest))
+
+
+def check_complete(out: Publisher, spec: CatalogSpec, clustering: bool) -> None:
+    """Refuse a run of which storage lacks a required output."""
+    required = required_outputs(out.spark, spec, clustering)
+    lacking = missing_outputs(required, out.stored(spec)).select("path")
     missing = sorted(r.path for r in lacking.collect())
     if missing:
         raise OutputMismatch("required outputs are missing", missing=missing)
-    return RunResult("complete", out.root, manifest)

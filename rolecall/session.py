@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +29,13 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def store(df, name: str) -> str:
+    """Write ``df`` once as Parquet to the shared checkpoint folder; the path."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def local_session(cores="8", partitions="8", memory="8g", name="rolecall") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")

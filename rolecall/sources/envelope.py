@@ -21,6 +21,7 @@ from rolecall.errors import (
     SourceMalformed,
     SourceNotFound,
 )
+from rolecall.functions.guards import offenders
 from rolecall.session import cut_lineage
 from rolecall.spec import MISTYPED, ROW_INDEX, SOURCE, VULNERABILITY_FEED, CatalogSpec
 
@@ -33,7 +34,6 @@ ENVELOPE_TYPES = {
     "vulnerabilities": "ARRAY",
 }
 RECORDS_FIELD = "vulnerabilities"
-SHOWN_PROBLEMS = 20  # how many offending places an error message lists
 
 
 @dataclass(frozen=True)
@@ -179,32 +179,36 @@ def metadata(docs: DataFrame, spec: CatalogSpec) -> DataFrame:
 def check_encoding(spark: SparkSession, path) -> None:
     files = spark.read.format("binaryFile").load(path)
     bad = files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("path")
-    broken = [r.path for r in bad.limit(SHOWN_PROBLEMS).collect()]
+    broken, all_of_them = offenders(bad, "encoding")
     if broken:
-        raise SourceEncoding("input is not UTF-8", path=broken)
+        raise SourceEncoding("input is not UTF-8", path=[r.path for r in broken], **all_of_them)
 
 
 def check_envelopes(described: DataFrame) -> None:
-    """Refuse documents with ``problems``, naming the first few."""
+    """Refuse documents with ``problems``; input that is not JSON anywhere outweighs the rest."""
     bad = described.filter("problems IS NOT NULL").select(SOURCE, "problems")
-    bad = bad.limit(SHOWN_PROBLEMS).collect()
-    if any("not JSON" in r.problems for r in bad):
-        raise SourceMalformed("input is not valid JSON", path=[r[SOURCE] for r in bad])
-    if bad:
+    broken, all_of_them = offenders(bad.filter(F.array_contains("problems", "not JSON")), "json")
+    if broken:
+        raise SourceMalformed(
+            "input is not valid JSON", path=[r[SOURCE] for r in broken], **all_of_them
+        )
+    shown, all_of_them = offenders(bad, "envelope")
+    if shown:
         raise EnvelopeMismatch(
             "envelope fields differ from the contract",
-            problems=[(r[SOURCE], list(r.problems)) for r in bad],
+            problems=[(r[SOURCE], list(r.problems)) for r in shown], **all_of_them,
         )
 
 
 def check_records(findings: DataFrame) -> None:
-    """Refuse records with findings, naming the first few."""
+    """Refuse records with findings, naming the first few and the table of all."""
     bad = findings.filter(HAS_FINDING).select(ROW_INDEX, "missing", "extra")
-    bad = bad.limit(SHOWN_PROBLEMS).collect()
-    if bad:
+    shown, all_of_them = offenders(bad, "records")
+    if shown:
         raise RecordMismatch(
             "record fields differ from the contract",
-            records=[(r[ROW_INDEX], list(r.missing or []), list(r.extra or [])) for r in bad],
+            records=[(r[ROW_INDEX], list(r.missing or []), list(r.extra or [])) for r in shown],
+            **all_of_them,
         )
 
 

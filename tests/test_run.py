@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from rolecall.errors import OutputMismatch
 from rolecall.operators import quality
 from rolecall.plans.publish import Publisher, fingerprint, source_digest
 from rolecall.plans.registry import OutputTable, missing_outputs, registry, required_outputs
-from rolecall.plans.run import RunConfig, run, run_core
+from rolecall.plans.run import RunConfig, check_complete, run, run_core, run_data_core
+from rolecall.session import checkpoint_root
 from rolecall.sources.records import read_table_csv
 from rolecall.spec import VULNERABILITY_FEED as FEED
 from tests.frames import RAW_SCHEMA, prepared_frame, raw_row
@@ -47,9 +49,14 @@ def read(spark, result, name):
 def test_complete_run_publishes_every_table(spark, complete, feed):
     assert complete.status == "complete"
     manifest = complete.manifest.collect()
-    assert {r.name for r in manifest} == set(registry(FEED)) and len(manifest) == 26
+    singles = set(registry(FEED)) - {"query_case"}
+    others = {"metadata", "query_case_1", "query_case_2", "query_case_3"}
+    assert {r.name for r in manifest} == singles | others and len(manifest) == 29
     assert {r.input_digest for r in manifest} == {hashlib.sha256(open(feed, "rb").read()).hexdigest()}
     for r in manifest:
+        assert r.bytes > 0
+        if r.name in others:
+            continue
         table = registry(FEED)[r.name]
         stored = spark.read.parquet(f"{complete.root}/{table.path}")
         assert sorted(stored.columns) == sorted(table.columns)
@@ -57,9 +64,9 @@ def test_complete_run_publishes_every_table(spark, complete, feed):
             stored = stored.withColumn("added_year", F.col("added_year").cast("bigint"))
         got = fingerprint(stored.select(*[f"`{c}`" for c in table.columns])).first()
         assert (got.row_count, got.fingerprint) == (r.row_count, r.fingerprint), r.name
-        assert list(r.columns) == list(table.columns) and r.bytes > 0
+        assert list(r.columns) == list(table.columns)
     written = spark.read.json(f"{complete.root}/manifests/run_manifest")
-    assert written.count() == 26
+    assert written.count() == 29
 
 
 def test_published_tables_agree_with_each_other(spark, complete):
@@ -69,11 +76,11 @@ def test_published_tables_agree_with_each_other(spark, complete):
                          ("ransomware_summary", "record_count"), ("ml_cluster_summary", "record_count"),
                          ("deadline_frequency", "record_count"), ("annual_added_summary", "record_count")):
         assert read(spark, complete, name).agg(F.sum(column)).first()[0] == total, name
-    assert read(spark, complete, "query_case").select("case_id").distinct().count() == 3
     cases = read(spark, complete, "query_cases_summary").collect()
-    per_case = {r.case_id: r["count"] for r in
-                read(spark, complete, "query_case").groupBy("case_id").count().collect()}
-    assert {r.case_id: r.record_count for r in cases} == per_case
+    assert [r.case_id for r in cases] == [1, 2, 3]
+    for r in cases:  # each case lies under the name that the summary states
+        rows = spark.read.csv(f"{complete.root}/queries/{r.output_file}", header=True)
+        assert rows.count() == r.record_count > 0 and rows.columns == list(FEED.prepared_fields)
     vendors = [tuple(r) for r in read(spark, complete, "vendor_summary").collect()]
     assert vendors == sorted(vendors, key=lambda r: (-r[1], r[0]))
     metadata = spark.read.json(f"{complete.root}/validation/metadata").first()
@@ -93,7 +100,7 @@ def test_invalid_input_publishes_only_quality(spark, tmp_path):
     result = run(spark, RunConfig(source, str(tmp_path / "out"), clustering=False))
     assert result.status == "validation_failed"
     names = {r.name for r in result.manifest.collect()}
-    assert names == {"validation_summary", "validation_details", "field_profile"}
+    assert names == {"metadata", "validation_summary", "validation_details", "field_profile"}
     assert sorted(p.name for p in (tmp_path / "out").glob("run-*/*")) == ["manifests", "validation"]
     details = read(spark, result, "validation_details")
     assert {r.issue_code for r in details.collect()} == {"KEV-VAL-004", "KEV-VAL-007"}
@@ -106,9 +113,60 @@ def test_each_run_has_its_own_folder(spark, feed, tmp_path):
     assert first.root != second.root and prepared.count() == 90
 
 
+def test_a_second_run_leaves_nothing_stale(spark, feed, tmp_path):
+    config = RunConfig(feed, str(tmp_path / "out"), clustering=False, run_id="same")
+    first = run(spark, config)
+    kept = tmp_path / "out/run-same/tables/own_notes.txt"
+    kept.write_text("not ours")
+    rows = catalog_rows()
+    rows[3] = raw_row("CVE-2024-1003", status="No")
+    broken = write(tmp_path, document(as_records(rows)), "broken.json")
+    second = run(spark, RunConfig(broken, str(tmp_path / "out"), clustering=False, run_id="same"))
+    assert (second.root, second.status) == (first.root, "validation_failed")
+    left = {str(p.relative_to(first.root)) for p in (tmp_path / "out/run-same").glob("*/*")}
+    assert left == {"manifests/run_manifest", "tables/own_notes.txt", "validation/metadata",
+                    "validation/validation_summary", "validation/validation_details",
+                    "validation/field_profile"}
+    assert not [p for p in os.listdir(checkpoint_root(spark).removeprefix("file:"))
+                if p.startswith("landed-same")]
+
+
+def test_data_core_has_a_manifest(spark, feed, tmp_path):
+    result = run_data_core(spark, RunConfig(feed, str(tmp_path)))
+    assert result.status == "data_core_complete"
+    assert {r.name for r in result.manifest.collect()} == {
+        "metadata", "validation_summary", "validation_details", "field_profile", "kev_prepared"}
+
+
+@pytest.mark.parametrize("gone, outputs", [({"tags": None}, 22 - 6), ({"due": None}, 22 - 3)])
+def test_roles_may_be_absent(spark, tmp_path, gone, outputs):
+    """Without tags there are no tag tables and cases; without due days no window tables."""
+    fields = tuple(f for f in FEED.raw_fields if f not in ("cwes" if "tags" in gone else "dueDate",))
+    spec = FEED.with_options(fields=fields, **gone)
+    table = spark.createDataFrame(catalog_rows(), RAW_SCHEMA).select(*fields)
+    table.write.parquet(str(tmp_path / "in"))
+    result = run(spark, RunConfig(str(tmp_path / "in"), str(tmp_path / "out"), spec=spec,
+                                  clustering=False, input_kind="parquet"))
+    assert result.status == "complete"
+    assert {r.name for r in result.manifest.collect()} >= {
+        n for n, t in registry(spec).items() if t.needs != "clustering" and n != "query_case"}
+    assert len(required_outputs(spark, spec, False).collect()) == outputs
+
+
+def test_an_output_gone_from_storage_is_missed(spark, feed, tmp_path):
+    result = run(spark, RunConfig(feed, str(tmp_path), clustering=False))
+    out = Publisher(spark, result.root)
+    check_complete(out, FEED, False)
+    (tmp_path / result.root / "tables/vendor_summary/_SUCCESS").unlink()
+    (tmp_path / result.root / "queries/query_case_2.csv/_SUCCESS").unlink()
+    with pytest.raises(OutputMismatch) as err:
+        check_complete(out, FEED, False)
+    assert err.value.context["missing"] == ["queries/query_case_*.csv", "tables/vendor_summary"]
+
+
 def test_csv_run(spark, feed, tmp_path):
     result = run(spark, RunConfig(feed, str(tmp_path), clustering=False, format="csv"))
-    assert result.status == "complete" and result.manifest.count() == 22
+    assert result.status == "complete" and result.manifest.count() == 25
     path = f"{result.root}/{registry(FEED)['vendor_summary'].path}"
     back = read_table_csv(
         spark, path, spark.createDataFrame(
@@ -163,11 +221,11 @@ def test_missing_outputs(spark):
     required = required_outputs(spark, FEED, clustering=True)
     assert required.count() == 26
     assert required_outputs(spark, FEED, clustering=False).count() == 22
-    manifest = spark.createDataFrame(
-        [(t.name, t.path, 2 if t.name == "query_case" else 1)
+    stored = spark.createDataFrame(
+        [(t.name, 2 if t.name == "query_case" else 1)
          for t in registry(FEED).values() if t.name != "vendor_summary"],
-        "name string, path string, parts int")
-    got = {r.name for r in missing_outputs(required, manifest).collect()}
+        "name string, parts int")
+    got = {r.name for r in missing_outputs(required, stored).collect()}
     assert got == {"vendor_summary", "query_case"}
 
 
