@@ -173,6 +173,14 @@ def _vocabulary(spark, sf):
     return textcluster.top_terms(_term_stats(spark, sf), n_docs)
 
 
+def _text_weights(spark, sf):
+    docs = star.documents_catalog(spark, sf)
+    n_docs = star.table(spark, sf, "documents").count()
+    vectors, vocab = textcluster.features(docs, DOCS, n_docs, list(STOP))
+    found = textcluster.weights(vectors, vocab, DOCS)
+    return found.withColumn("weight", F.round("weight", 6))
+
+
 _ANALYSES: dict = {}
 
 
@@ -191,6 +199,30 @@ def _clusters(part):
     return query
 
 
+def _cluster_checks(spark, sf):
+    """What must hold of the clustering whatever the fits find, as (check_name, value)."""
+    selection, records, summary, keywords = (
+        _clusters(p)(spark, sf) for p in ("selection", "records", "summary", "keywords")
+    )
+    per_cluster = keywords.groupBy("cluster_id").agg(F.count_distinct("keyword_rank").alias("n"))
+    checks = (
+        ("candidates", selection, F.count("*")),
+        ("selected", selection, F.count_if("selected")),
+        ("documents", records, F.count("*")),
+        ("ids", records, F.count_distinct("doc_id")),
+        ("members", summary, F.sum("record_count")),
+        ("known", summary, F.sum("known_count")),
+        ("share in millionths", summary, F.round(F.sum("share") * 1_000_000).cast("bigint")),
+        ("fewest keywords", per_cluster, F.min("n")),
+        ("most keywords", per_cluster, F.max("n")),
+    )
+    rows = [df.agg(v.alias("value")).select(F.lit(n).alias("check_name"), "value") for n, df, v in checks]
+    found = rows[0]
+    for row in rows[1:]:
+        found = found.union(row)
+    return found
+
+
 def _event_pairs(spark, sf):
     return concentration.pair_counts(star.events_catalog(spark, sf))
 
@@ -235,6 +267,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # vendors and products
         "vendor_summary": lambda s, d: concentration.vendor_summary(_order_pairs(s, d)),
         "vendor_summary_events": lambda s, d: concentration.vendor_summary(_event_pairs(s, d)),
+        "vendor_curve": lambda s, d: concentration.vendor_curve(_order_pairs(s, d)),
         "vendor_top15": lambda s, d: concentration.top_vendors(_line_pairs(s, d)),
         "vendor_product_summary": lambda s, d: concentration.product_summary(_order_pairs(s, d)),
         "vendor_product_top30": lambda s, d: concentration.top_products(_line_pairs(s, d)),
@@ -288,6 +321,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "analysis_text": _analysis_text,
         "text_term_stats": _term_stats,
         "text_vocabulary": _vocabulary,
+        "text_weights": _text_weights,
+        "cluster_checks": _cluster_checks,
         "cluster_selection": _clusters("selection"),
         "cluster_records": _clusters("records"),
         "cluster_summary": _clusters("summary"),
@@ -543,6 +578,12 @@ def oracle_sql() -> dict[str, str]:
             WHERE l_returnflag NOT IN ('A', 'R')""",
         "vendor_summary": f"WITH {_ORDER_PAIRS}, {_VENDORS} {_LEADERBOARD}",
         "vendor_summary_events": f"WITH {_EVENT_PAIRS}, {_VENDORS} {_LEADERBOARD}",
+        "vendor_curve": f"""WITH {_ORDER_PAIRS}, {_VENDORS}
+            SELECT row_number() OVER (ORDER BY n DESC, vendor_clean) AS rank, vendor_clean,
+                   n AS record_count,
+                   CAST(sum(n) OVER (ORDER BY n DESC, vendor_clean) AS DOUBLE)
+                     / CAST(sum(n) OVER () AS DOUBLE) AS cumulative_share
+            FROM ven""",
         "vendor_top15": f"""WITH {_LINE_PAIRS}, {_VENDORS}
             SELECT row_number() OVER (ORDER BY n DESC, vendor_clean) AS rank, vendor_clean,
                    n AS record_count, products AS product_count
@@ -690,4 +731,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM stats
             WHERE doc_count >= 2 AND doc_count <= 0.95 * (SELECT count(*) FROM documents)
             ORDER BY term_count DESC, term LIMIT 5000""",
+        "text_weights": f"""WITH {terms},
+            d AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+            vocab AS (
+              SELECT term, doc_count FROM stats, d WHERE doc_count >= 2 AND doc_count <= 0.95 * n
+              ORDER BY term_count DESC, term LIMIT 5000),
+            tf AS (SELECT doc_id, term, count(*) AS c FROM t GROUP BY 1, 2),
+            raw AS (
+              SELECT doc_id, term, (1 + ln(c)) * (ln((1 + n) / (1 + doc_count)) + 1) AS w
+              FROM tf JOIN vocab USING (term), d)
+            SELECT doc_id, term,
+                   round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
+            FROM raw""",
+        "cluster_checks": """
+            SELECT 'candidates' AS check_name, CAST(5 AS BIGINT) AS value
+            UNION ALL SELECT 'selected', 1
+            UNION ALL SELECT 'documents', count(*) FROM documents
+            UNION ALL SELECT 'ids', count(DISTINCT doc_id) FROM documents
+            UNION ALL SELECT 'members', count(*) FROM documents
+            UNION ALL SELECT 'known', count(*) FROM documents
+              WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+            UNION ALL SELECT 'share in millionths', 1000000
+            UNION ALL SELECT 'fewest keywords', 10
+            UNION ALL SELECT 'most keywords', 10""",
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from rolecall.operators.prepare import prepare
 from rolecall.spec import VULNERABILITY_FEED as FEED
 
@@ -31,34 +29,27 @@ def prepared_frame(spark, rows):
     return prepare(raw_frame(spark, rows, index=False), FEED)[0]
 
 
-SEARCH_ROWS = [
-    raw_row("CVE-2024-0002", "Microsoft", "Exchange Server", "2024-03-10", "2024-03-31", "Known",
-            ["CWE-79"]),
-    raw_row("CVE-2024-0001", "Adobe", "Acrobat Reader", "2024-03-10", "2024-03-20", "Unknown",
-            ["CWE-787"]),
-    raw_row("CVE-2023-0003", "Microsoft", "Windows", "2023-01-01", "2023-01-15", "Unknown", []),
-]
-
-CASE_ROWS = [
-    raw_row("CVE-2024-0001", "Microsoft", "Windows", "2024-02-01", "2024-02-22", "Known",
-            ["CWE-79"]),
-    raw_row("CVE-2024-0002", "Microsoft", "Exchange", "2024-03-01", "2024-03-22", "Known",
-            ["CWE-89"]),
-    raw_row("CVE-2023-0003", "Adobe", "Reader", "2023-05-01", "2023-05-15", "Unknown",
-            ["CWE-79", "CWE-787"]),
-    raw_row("CVE-2023-0004", "Adobe", "Acrobat", "2023-06-01", "2023-06-15", "Unknown",
-            ["CWE-79"]),
+FEW_ROWS = [
+    raw_row("CVE-2022-4100", "Heron Labs", "Gate 2", "2022-03-30", "2022-04-13", "Unknown",
+            ["CWE-22", "CWE-352"]),
+    raw_row("CVE-2021-8200", "Quill", "Ledger", "2021-12-05", "2021-12-26", "Known"),
+    raw_row("CVE-2022-4099", "Heron Labs", "gateway", "2022-03-30", "2022-04-29", "Known",
+            ["CWE-22"]),
 ]
 
-TAG_ROWS = [
-    raw_row("CVE-2024-0001", "A", status="Known", tags=["CWE-79", "CWE-89", "CWE-79"]),
-    raw_row("CVE-2024-0002", "B", status="Unknown", tags=["CWE-79"]),
-    raw_row("CVE-2024-0003", "C", status="Known", tags=[]),
-    raw_row("CVE-2024-0004", "D", status="Unknown", tags=["CWE-787"]),
+CATALOG_ROWS = [
+    raw_row("CVE-2020-7002", "Heron Labs", "Gate Keeper Pro", "2020-04-02", "2020-05-02", "Known",
+            ["CWE-22", "CWE-502"]),
+    raw_row("CVE-2020-7001", "Heron Labs", "Gate Keeper", "2020-04-02", "2020-04-16", "Known",
+            ["CWE-22"]),
+    raw_row("CVE-2020-7003", "Quill", "Ledger", "2020-09-21", "2020-10-12", "Unknown", ["CWE-502"]),
+    raw_row("CVE-2021-1500", "quill & Sons", "Ledger Lite", "2021-01-11", "2021-02-01", "Unknown"),
+    raw_row("CVE-2021-1501", "Quill", "Ink.*", "2021-06-30", "2021-07-21", "Unknown",
+            ["CWE-352", "CWE-22", "CWE-352"]),
+    raw_row("CVE-2021-1502", " Osprey ", "Nest", "2021-06-30", "2021-06-30", "Known"),
+    raw_row("CVE-2022-0044", "Osprey", "Nest", "2022-12-31", "2023-01-31", "Unknown", ["CWE-22"]),
 ]
 
-DAY = date
-
 
 def rows_of(df):
     return [tuple(r) for r in df.collect()]

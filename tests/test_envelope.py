@@ -11,7 +11,7 @@ from rolecall.errors import (
 )
 from rolecall.sources import envelope, records
 from rolecall.spec import VULNERABILITY_FEED as FEED
-from tests.frames import RAW_SCHEMA, SEARCH_ROWS
+from tests.frames import RAW_SCHEMA, FEW_ROWS
 
 
 def as_records(rows):
@@ -35,13 +35,13 @@ def write(tmp_path, payload, name="feed.json"):
 
 
 def test_reads_records_in_contract_order(spark, tmp_path):
-    rows = as_records(SEARCH_ROWS)
+    rows = as_records(FEW_ROWS)
     shuffled = [dict(reversed(r.items())) for r in rows]
     path = write(tmp_path, document(shuffled, extra_top=1))
     read = envelope.read_envelope(spark, path)
     assert tuple(read.records.columns[:11]) == FEED.raw_fields
     got = read.records.orderBy("row_index").collect()
-    assert [tuple(r[:11]) for r in got] == [tuple(r) for r in SEARCH_ROWS]
+    assert [tuple(r[:11]) for r in got] == [tuple(r) for r in FEW_ROWS]
     assert [r.row_index for r in got] == [0, 1, 2]
     meta = read.metadata.first()
     assert (meta.title, meta["count"], meta.actualRecordCount) == ("Catalog", 3, 3)
@@ -108,7 +108,7 @@ def test_bad_envelope(spark, tmp_path, payload):
 
 
 def test_record_fields_are_closed(spark, tmp_path):
-    rows = as_records(SEARCH_ROWS)
+    rows = as_records(FEW_ROWS)
     rows[1] = {k: v for k, v in rows[1].items() if k != "product"} | {"severity": "high"}
     with pytest.raises(RecordMismatch) as err:
         envelope.read_envelope(spark, write(tmp_path, document(rows)))
@@ -116,13 +116,29 @@ def test_record_fields_are_closed(spark, tmp_path):
     assert err.value.context["records"] == [(1, ["product"], ["severity"])]
 
 
+def test_the_error_class_follows_from_all_documents(spark, tmp_path):
+    """One document that is not JSON outweighs any number with a missing field."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    lacking = {k: v for k, v in document([]).items() if k != "title"}
+    for i in range(30):
+        write(folder, lacking, f"{i:02}.json")
+    with pytest.raises(EnvelopeMismatch) as err:
+        envelope.read_envelope(spark, str(folder))
+    assert err.value.context["count"] == 30 and len(err.value.context["problems"]) == 20
+    assert spark.read.parquet(err.value.context["stored"]).count() == 30
+    write(folder, "{broken", "zz.json")
+    with pytest.raises(SourceMalformed):
+        envelope.read_envelope(spark, str(folder))
+
+
 def test_record_must_be_an_object(spark, tmp_path):
     with pytest.raises(RecordMismatch):
         envelope.read_envelope(spark, write(tmp_path, document([5])))
 
 
 def test_mistyped_cells_are_kept_aside(spark, tmp_path):
-    rows = as_records(SEARCH_ROWS)
+    rows = as_records(FEW_ROWS)
     rows[0]["cwes"] = "CWE-79"
     rows[1]["vendorProject"] = 7
     rows[2]["cwes"] = ["CWE-1", 79, None]
@@ -134,7 +150,7 @@ def test_mistyped_cells_are_kept_aside(spark, tmp_path):
 
 
 def test_many_documents_and_lines(spark, tmp_path):
-    rows = as_records(SEARCH_ROWS)
+    rows = as_records(FEW_ROWS)
     folder = tmp_path / "docs"
     folder.mkdir()
     for i, r in enumerate(rows):
@@ -143,20 +159,20 @@ def test_many_documents_and_lines(spark, tmp_path):
     assert read.records.count() == 3 and read.metadata.count() == 3
     lines = write(tmp_path, "\n".join(json.dumps(document([r])) for r in rows), "all.jsonl")
     by_line = envelope.read_envelope(spark, lines, one_per_line=True)
-    assert sorted(r.cveID for r in by_line.records.collect()) == sorted(r[0] for r in SEARCH_ROWS)
+    assert sorted(r.cveID for r in by_line.records.collect()) == sorted(r[0] for r in FEW_ROWS)
     plain = write(tmp_path, "\n".join(json.dumps(r) for r in rows), "records.jsonl")
     direct = records.read_record_lines(spark, plain)
-    assert sorted(r.cveID for r in direct.collect()) == sorted(r[0] for r in SEARCH_ROWS)
+    assert sorted(r.cveID for r in direct.collect()) == sorted(r[0] for r in FEW_ROWS)
     broken = write(tmp_path, json.dumps(rows[0]) + "\n{oops", "bad.jsonl")
     with pytest.raises(RecordMismatch):
         records.read_record_lines(spark, broken)
 
 
 def test_land_and_parquet_index(spark, tmp_path):
-    read = envelope.read_envelope(spark, write(tmp_path, document(as_records(SEARCH_ROWS))))
+    read = envelope.read_envelope(spark, write(tmp_path, document(as_records(FEW_ROWS))))
     stored = envelope.land(read.records, str(tmp_path / "landed"))
     assert sorted(stored.collect()) == sorted(read.records.collect())
-    many = spark.createDataFrame(SEARCH_ROWS * 5, RAW_SCHEMA)
+    many = spark.createDataFrame(FEW_ROWS * 5, RAW_SCHEMA)
     many.repartition(4).write.parquet(str(tmp_path / "records"))
     back = records.read_record_parquet(spark, str(tmp_path / "records"))
     assert sorted(r.row_index for r in back.collect()) == list(range(15))
