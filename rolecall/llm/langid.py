@@ -139,14 +139,9 @@ def fit(documents: DataFrame, max_rows: int = 600) -> Model:
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())  # one row a language
     known, centres, owner, limits = [], [], [], []
     for lang in languages:
-        ids = (
-            rows.filter(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("_o"))
-            .distinct().orderBy("_o", "doc_id").limit(max_rows)
-        )
-        # At most max_rows ids: the broadcast has a fixed bound.
-        sample = rows.filter(F.col("lang") == lang).join(F.broadcast(ids.select("doc_id")), "doc_id")
-        texts = [r.text for r in sample.orderBy("_o" if "_o" in sample.columns else F.xxhash64("doc_id"))
-                 .select(text_of().alias("text")).collect()]
+        sample = rows.filter(F.col("lang") == lang).select("doc_id", text_of().alias("text"))
+        sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows)
+        texts = [r.text for r in sample.select("text").collect()]  # max_rows whole texts
         found = [c for c in map(counts, texts) if c is not None]
         if not found:
             continue
