@@ -36,6 +36,22 @@ def test_nearest_reaches_most_neighbours_and_breaks_ties(spark):
     assert [got[300][k][0] for k in range(1, 4)] == [301, 302, 303] or m[300] @ m[300] < (m @ m[300]).max()
 
 
+def test_search_goes_on_until_the_measured_recall_is_reached(spark, monkeypatch):
+    monkeypatch.setattr(ann, "K", 6)
+    monkeypatch.setattr(ann, "FORWARD", 4)
+    monkeypatch.setattr(ann, "REVERSE", 4)
+    monkeypatch.setattr(ann, "CHUNK", 16)
+    monkeypatch.setattr(ann, "TREES", 2)
+    monkeypatch.setattr(ann, "POOL", 25)
+    m = np.random.default_rng(3).normal(size=(1500, 24)) * 1e6  # beyond half precision
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: set([i for i in np.argsort(-(m @ m[q])) if i != q][:20]) for q in range(0, 1500, 20)}
+    assert sum(len(want[q] & got[q]) for q in want) / (20 * len(want)) >= 0.94
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
