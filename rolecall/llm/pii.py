@@ -1,17 +1,23 @@
 """Personal data: exact patterns, and information-theoretic sanitisation of what stands near them.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each distinct value
-is a protected entity e. Terms within WINDOW words of a mention are its context. Over the whole
-corpus D(e), D(t) and D(e, t) count documents, and a term discloses an entity as far as their
-pointwise mutual information reaches its information content:
+is a protected entity e; the words of the documents that hold it are its terms. Over the whole corpus
+D(e), D(t) and D(e, t) count documents, and a term discloses an entity as far as their pointwise mutual
+information reaches its information content:
 
     PMI(e, t) = ln(N * D(e, t) / (D(e) * D(t))),   IC(e) = ln(N / D(e)).
 
-A term with PMI >= GENERALISE * IC is generalised to its class, with PMI >= REMOVE * IC removed, if
-at least SUPPORT different contexts show them together (copies of one passage are one context).
+A term with PMI >= GENERALISE * IC is generalised to its class, with PMI >= REMOVE * IC removed,
+wherever it stands in the documents that hold e, if the pair is significant. A pair is looked at because
+it met once; the chance that it meets as often again by accident has Chernoff's bound for the
+hypergeometric tail, and of the pairs kept at most a share FALSE is expected to be accidental
+(Benjamini and Hochberg, over all pairs). Documents with the same smallest five-word shingle hash are
+one observation there, so copies of a text are no evidence. An entity seen in one observation only has
+no second meeting and makes no pairs.
 
-D(t) is counted for the terms whose support suffices, in parts of at most TERMS terms, so the
-broadcast set is bounded and the counts are over all documents.
+D(t) is counted for the terms that meet an entity again, in parts of at most TERMS terms, so the
+broadcast set is bounded and the counts are over all documents. A part of a word that a base span cuts
+is a term too; it counts in D(t) where it is a whole word, and D(t) is D(e, t) at least.
 
 Defined results: null is the empty text, without spans; repeated rows get equal spans; spans of
 different kinds may overlap, sanitised text replaces the leftmost, then longest; offsets are code
@@ -22,17 +28,19 @@ are kept, those named like an output give way.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecall.llm.common import stored, text_of, with_columns
+from rolecall.llm.common import looked_up, stored, text_of, with_columns
+from rolecall.llm.shingles import shingle_hashes, word_hashes
 
-WINDOW, SUPPORT = 6, 3
 GENERALISE, REMOVE = 0.8, 0.95
+FALSE = 0.05  # share of accidental pairs
 TERMS = 500_000
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -96,57 +104,51 @@ def _entity(kind: str, value: str) -> int:
 
 
 _WORD = re.compile(r"\S+")
-_BEFORE = 40 * WINDOW  # characters looked at on either side
-
-
-def contexts(text: str, spans) -> list[tuple[int, int, str, int, int]]:
-    """(entity, context, term, start, end) of the terms near each base span."""
-    out = []
-    for kind, a, b in spans:
-        lo, hi = max(0, a - _BEFORE), min(len(text), b + _BEFORE)
-        before = [m for m in _WORD.finditer(text, lo, a)]
-        before = before[1:] if lo and before and before[0].start() == lo else before
-        after = [m for m in _WORD.finditer(text, b, hi)]
-        after = after[:-1] if hi < len(text) and after and after[-1].end() == hi else after
-        near = []
-        for m in before[-WINDOW:] + after[:WINDOW]:
+
+
+def places(text: str, spans) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words outside the base spans, if there are any."""
+    out, at = [], 0
+    for a, b in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))] if spans else []:
+        for m in _WORD.finditer(text, at, max(a, at)):
             term = m[0].strip(_EDGES)
-            start = m.start() + m[0].find(term) if term else m.start()
-            end = start + len(term)
-            if len(term) >= 3 and not any(start < y and x < end for _, x, y in spans):
-                near.append((term.lower(), start, end))
-        if near:
-            entity = _entity(kind, text[a:b])
-            key = hashlib.blake2b(" ".join(t for t, _, _ in near).encode(), digest_size=8).digest()
-            context = int.from_bytes(key, "little", signed=True)
-            out += [(entity, context, t, x, y) for t, x, y in near]
+            if len(term) >= 3:
+                start = m.start() + m[0].find(term)
+                out.append((term.lower(), start, start + len(term)))
+        at = max(at, b)
     return out
 
 
+def _observation(text: str) -> int:
+    """The smallest shingle hash: equal for copies, and mostly for near copies."""
+    hashes = shingle_hashes(word_hashes(text.encode()))
+    return int(hashes.min().view("int64")) if len(hashes) else 0
+
+
 _FOUND = T.StructType([
     T.StructField("_spans", T.StringType()),
     T.StructField("_near", T.ArrayType(T.StructType([
-        T.StructField("entity", T.LongType()), T.StructField("context", T.LongType()),
         T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()),
         T.StructField("end", T.IntegerType()),
     ]))),
     T.StructField("_entities", T.ArrayType(T.LongType())),
+    T.StructField("_seen", T.LongType()),
 ])
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``_text`` (a hash of the text), base spans and their contexts of every row."""
+    """``doc_id``, ``_text`` (a hash of the text), base spans, entities and terms of every row."""
     rows = documents.select("doc_id", F.xxhash64(text_of()).alias("_text"), text_of().alias("text"))
 
     def compute(batch):
-        spans, near, entities = [], [], []
+        spans, near, entities, seen = [], [], [], []
         for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
             own = base_spans(text)
             spans.append(joined(own))
-            names = ("entity", "context", "term", "start", "end")
-            near.append([dict(zip(names, c, strict=True)) for c in contexts(text, own)])
+            near.append([dict(zip(("term", "start", "end"), c, strict=True)) for c in places(text, own)])
+            seen.append(_observation(text) if own else 0)
             entities.append(sorted({_entity(k, text[a:b]) for k, a, b in own}))
-        return [spans, near, entities]
+        return [spans, near, entities, seen]
 
     return stored(with_columns(rows, list(_FOUND), compute).drop("text"), "spans")
 
@@ -160,7 +162,7 @@ def _counted(documents: DataFrame, terms: list[str]) -> DataFrame:
         wanted = sent.value
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for t in {w.strip(_EDGES) for w in set(text.lower().split())} & wanted:
+                for t in {w.strip(_EDGES).lower() for w in set(text.split())} & wanted:
                     counts[t] = counts.get(t, 0) + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
@@ -172,19 +174,26 @@ def _counted(documents: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def disclosures(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """``entity``, ``term``, ``ratio`` (PMI / IC) of the pairs at or above GENERALISE."""
+    """``entity``, ``term``, ``ratio`` (PMI / IC) of the significant pairs at or above GENERALISE."""
     spark = documents.sparkSession
-    near = rows.select("doc_id", "_text", F.explode("_near").alias("c")).select("doc_id", "_text", "c.*")
-    support = (
-        near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
-        .groupBy("entity", "term").agg(F.count("*").alias("support"))
-        .filter(F.col("support") >= SUPPORT)
+    total = rows.count()
+    held = rows.filter(F.size("_entities") > 0).select(
+        F.explode("_entities").alias("entity"), "_seen", F.array_distinct("_near.term").alias("_words")
+    )
+    entities = stored(
+        held.groupBy("entity", "_seen").agg(F.count("*").alias("n"))
+        .groupBy("entity").agg(F.sum("n").alias("d_entity"), F.count("*").alias("seen")), "entities",
     )
-    both = (
-        near.select("doc_id", "_text", "entity", "term").distinct()
-        .groupBy("entity", "term").agg(F.count("*").alias("d_both"))
+    size = entities.agg(F.sum("d_entity")).first()[0] or 0
+    again = entities.filter("seen > 1").select("entity", "d_entity", "seen")
+    met = looked_up(held, again, "entity", "d_entity", size).filter("seen IS NOT NULL")
+    tests = Observation()
+    pairs = stored(
+        met.select("entity", "_seen", F.explode("_words").alias("term"))
+        .groupBy("entity", "term", "_seen").agg(F.count("*").alias("n"))
+        .groupBy("entity", "term").agg(F.sum("n").alias("d_both"), F.count("*").alias("seen_both"))
+        .observe(tests, F.count(F.lit(1)).alias("n")).filter("seen_both > 1"), "pairs",
     )
-    pairs = stored(support.join(both, ["entity", "term"]), "pairs")
     terms = pairs.select("term").distinct()
     counts = spark.createDataFrame([], "term string, n long")
     part: list[str] = []
@@ -194,23 +203,34 @@ def disclosures(documents: DataFrame, rows: DataFrame) -> DataFrame:
             counts, part = counts.unionByName(_counted(documents, part)), []
     if part:
         counts = counts.unionByName(_counted(documents, part))
-    entities = (
-        rows.select(F.explode("_entities").alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("d_entity"))
-    )
-    total = rows.count()
-    content = F.log(F.lit(float(max(total, 1))) / F.col("d_entity"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("d_both") / (F.col("d_entity") * F.col("n")))
-    return (
-        pairs.join(counts, "term").join(entities, "entity")
-        .filter(content > 0).withColumn("ratio", pmi / content)
-        .filter(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio")
+    scale = float(max(total, 2))
+    n = F.greatest(F.coalesce("n", F.lit(0)), "d_both")
+    content = F.log(F.lit(scale) / F.col("d_entity"))
+    pmi = F.log(F.lit(scale) * F.col("d_both") / (F.col("d_entity") * n))
+    more, share = F.col("seen") - 1, (F.col("seen_both") - 1) / (F.col("seen") - 1)
+    chance = (n - 1) / F.lit(scale - 1)
+    missed = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - chance))).otherwise(0.0)
+    bound = F.when(share > chance, more * (share * F.log(share / chance) + missed)).otherwise(0.0)
+    judged = stored(
+        pairs.join(counts, "term", "left").join(entities, "entity").filter(content > 0)
+        .select("entity", "term", (pmi / content).alias("ratio"),
+                F.floor(F.least(bound, F.lit(700.0)) * 10).alias("tenths")), "judged",
     )
+    least, better = None, 0
+    for r in judged.groupBy("tenths").count().orderBy(F.desc("tenths")).collect():  # at most 7001
+        better += r["count"]
+        if tests.get["n"] * math.exp(-r.tenths / 10) <= FALSE * better:
+            least = r.tenths
+    kept = judged.filter(F.col("tenths") >= least) if least is not None else judged.limit(0)
+    return kept.filter(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio")
 
 
 def term_spans(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``doc_id``, ``_text``, ``_terms``: added spans ``start, end, remove`` of each row that has any."""
-    near = rows.select("doc_id", "_text", F.explode("_near").alias("c")).select("doc_id", "_text", "c.*")
+    pairs = stored(pairs, "disclosures")
+    held = rows.select("doc_id", "_text", F.explode("_entities").alias("entity"), "_near")
+    held = held.join(pairs.select("entity").distinct(), "entity", "left_semi")
+    near = held.select("doc_id", "_text", "entity", F.explode("_near").alias("c")).select("doc_id", "_text", "entity", "c.*")
     hit = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "_text", "start", "end").agg(
         (F.max("ratio") >= REMOVE).alias("remove")
     )

@@ -202,6 +202,19 @@ def test_disclosing_terms_are_found_and_common_ones_are_not(spark):
     assert clean[10] == rows[10][1]
 
 
+def test_disclosing_terms_are_found_anywhere_in_the_document_and_copies_prove_nothing(spark):
+    rng = random.Random(18)
+    rows = [(i, prose(rng, 30), "en", 1, 1, "") for i in range(200)]
+    rows += [(300 + i, f"Zorblat, {prose(rng, 20)} write ann@example.org now {prose(rng, 20)} zorblat", "en", 1, 1, "")
+             for i in range(5)]
+    copy = f"quixle {prose(rng, 20)} bob@example.org {prose(rng, 9)}"
+    rows += [(400 + i, copy, "en", 1, 1, "") for i in range(5)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, rows)).collect()}
+    assert all("orblat" not in clean[300 + i] and "[EMAIL]" in clean[300 + i] for i in range(5))
+    assert all(clean[400 + i] == copy.replace("bob@example.org", "[EMAIL]") for i in range(5))
+    assert clean[10] == rows[10][1]
+
+
 @pytest.fixture(scope="module")
 def toxic_model():
     rng = random.Random(6)
