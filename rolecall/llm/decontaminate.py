@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-A window has as many words as a benchmark item (a shorter document is one window). Its weighted
+A window has as many words as a benchmark item (a shorter document is one window). Its distinct weighted
 five-word shingles give a 64-bit SimHash; weights are 1 + ln(items / items with the shingle). The
 fingerprint is cut in BLOCKS blocks. If two fingerprints differ in at most RADIUS bits, some block
 differs in at most RADIUS // BLOCKS bits, so probing every block value within that distance finds
@@ -50,6 +50,20 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _repeats(hashes: np.ndarray, signed: np.ndarray, count: int) -> np.ndarray:
+    """For each start: the sum of a window's shingles that stand in it before, which count once only."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again, before = order[1:][same], order[:-1][same]
+    near = again - before < count
+    again, before = again[near], before[near]
+    # A repeat lies in the windows that start after again - count and up to its earlier occurrence.
+    out = np.zeros((len(hashes) + 1, BITS), dtype=np.int64)
+    np.add.at(out, np.maximum(again - count + 1, 0), signed[again])
+    np.subtract.at(out, before + 1, signed[again])
+    return np.cumsum(out, axis=0, out=out)
+
+
 def _block(fingerprints: np.ndarray, i: int) -> np.ndarray:
     width = _EDGES[i + 1] - _EDGES[i]
     return (fingerprints >> np.uint64(_EDGES[i])).astype(np.int64) & ((1 << width) - 1)
@@ -140,8 +154,10 @@ class Index:
             known = place[lo:hi]
             weight = np.where(known >= 0, self.weight[known], self.rest)
             sums = np.zeros((hi - lo + 1, BITS), dtype=np.int64)
-            np.cumsum(_signs(hashes[lo:hi]) * _whole(weight)[:, None], axis=0, out=sums[1:])
-            prints = _fingerprints(sums[run - lo + count] - sums[run - lo])
+            signed = _signs(hashes[lo:hi]) * _whole(weight)[:, None]
+            np.cumsum(signed, axis=0, out=sums[1:])
+            total = sums[run - lo + count] - sums[run - lo]
+            prints = _fingerprints(total - _repeats(hashes[lo:hi], signed, count)[run - lo])
             blocks = np.stack([_block(prints, i) for i in range(BLOCKS)], axis=1).tolist()
             for start, p, values in zip(run.tolist(), prints, blocks, strict=True):
                 for item in self.within(p, values, length).tolist():

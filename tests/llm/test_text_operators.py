@@ -140,6 +140,16 @@ def test_decontamination_equals_brute_force(spark, texts):
     assert kept == {d for d, *_ in rows} - {d for d, _ in want}
 
 
+def test_copies_of_repetitive_items_are_found(spark):
+    rng = random.Random(19)
+    items = [(i, f"{prose(rng, 20)} {'again and again we say ' * 12}{prose(rng, 9)} {f'x{i} = {i} ; ' * 8}") for i in range(30)]
+    rows = [(i, f"{prose(rng, 15)} {t} {prose(rng, 15)}", None, 1, 1, "") for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(documents(spark, rows), bench).collect()}
+    for i, _ in items:
+        assert abs(got[i, i].similarity - 1) < 1e-9 and got[i, i].start_word == 15 and got[i, i].hamming == 0
+
+
 def test_multi_index_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(2)
     items = [(i, " ".join(str(x) for x in rng.integers(0, 999, 20)).encode()) for i in range(40)]
