@@ -9,7 +9,10 @@ window and item, kept at ``least`` or more.
 
 Windows without a single shingle of an item of that length have similarity 0 and get no
 fingerprint. Items are sent to the tasks in parts of at most ITEMS; a larger benchmark takes several
-passes, so what is broadcast is bounded. Nothing is shuffled but the matches.
+passes, so what is broadcast is bounded. Item counts of shingles are those of the whole benchmark: each
+part has its shingles' counts with it, and with several parts a first round of passes notes which
+shingles of a text the benchmark holds, so every window has its weights whatever the part. Nothing is
+shuffled but the matches, and with several parts the texts that share a shingle with an item.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than five words is
 one shingle; repeated items each match; repeated rows each match (one row a doc_id and item); of
@@ -19,14 +22,15 @@ equally similar windows the first counts; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+import uuid
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import text_of
+from rolecall.llm.common import stored, text_of
 from rolecall.llm.shingles import WORDS, shingle_hashes, word_hashes
 
 BITS, BLOCKS, RADIUS = 64, 6, 23
@@ -121,17 +125,29 @@ class Index:
         items = items[self.sizes[items] == length]
         return items[np.bitwise_count(self.prints[items] ^ np.uint64(fingerprint)) <= RADIUS]
 
-    def matches(self, text: bytes, least: float) -> dict[int, tuple]:
-        """item -> (similarity, first word, words, differing bits) of its best window."""
-        words = word_hashes(text)
-        best: dict[int, tuple] = {}
+    def _shingles(self, words: np.ndarray):
+        """(size, hashes, places) of the words for every shingle size that items or the text have."""
         if not len(words) or not len(self.known):
-            return best
+            return
         for size in {min(WORDS, s) for s in self.sizes.tolist()} | {min(WORDS, len(words))}:
-            if size > len(words):
-                continue
-            hashes = shingle_hashes(words, size)
-            place = self.found(hashes)
+            if size <= len(words):
+                hashes = shingle_hashes(words, size)
+                yield size, hashes, self.found(hashes)
+
+    def held(self, text: bytes) -> np.ndarray:
+        """The places of the text's shingles among the known ones."""
+        found = [p[p >= 0] for _, _, p in self._shingles(word_hashes(text))]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def matches(self, text: bytes, least: float, counts=None) -> dict[int, tuple]:
+        """item -> (similarity, first word, words, differing bits) of its best window.
+
+        ``counts``: ascending hashes of the text's shingles that any part holds, and their weights;
+        without it, this part is all there is.
+        """
+        words = word_hashes(text)
+        best: dict[int, tuple] = {}
+        for size, hashes, place in self._shingles(words):
             hits = np.flatnonzero(place >= 0)
             spans: dict[int, list[int]] = {}
             for h in hits.tolist():
@@ -139,10 +155,10 @@ class Index:
                     spans.setdefault(length, []).append(h)
             for length, at in spans.items():
                 if size == min(WORDS, length) or len(words) < length:
-                    self._windows(hashes, place, length, size, at, least, best)
+                    self._windows(hashes, place, length, size, at, least, best, counts)
         return best
 
-    def _windows(self, hashes, place, length, size, hits, least, best) -> None:
+    def _windows(self, hashes, place, length, size, hits, least, best, counts) -> None:
         count = min(max(1, length - size + 1), len(hashes))  # shingles of a window
         last = len(hashes) - count
         starts = np.unique(np.clip(
@@ -153,6 +169,9 @@ class Index:
             lo, hi = int(run[0]), int(run[-1]) + count
             known = place[lo:hi]
             weight = np.where(known >= 0, self.weight[known], self.rest)
+            if counts is not None and len(counts[0]):
+                at = np.minimum(np.searchsorted(counts[0], hashes[lo:hi]), len(counts[0]) - 1)
+                weight = np.where((known < 0) & (counts[0][at] == hashes[lo:hi]), counts[1][at], weight)
             sums = np.zeros((hi - lo + 1, BITS), dtype=np.int64)
             signed = _signs(hashes[lo:hi]) * _whole(weight)[:, None]
             np.cumsum(signed, axis=0, out=sums[1:])
@@ -171,46 +190,105 @@ class Index:
                         best[item] = (score, start, min(length, count + size - 1), bits)
 
 
-def _parts(benchmark: DataFrame):
-    """The items in bounded parts, read in the order of item_id; with the shingles' item counts."""
+def _counted(benchmark: DataFrame) -> DataFrame:
+    """``item_id, text, counts``: the items, each with its shingles' item counts in the whole benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
-    part, size = [], 0
+    items = stored(items.withColumn("key", F.sha1("text")), "items")
+
+    def shingles(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            sets = [np.unique(shingle_hashes(word_hashes(t))).view(np.int64) for t in texts]
+            lengths = np.array([len(x) for x in sets], dtype=np.int64)
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), lengths)))
+            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(values, pa.int64())], names=["key", "shingle"])
+
+    held = stored(items.select("key", "text").mapInArrow(shingles, "key string, shingle long"), "shingles")
+    number = held.groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = held.distinct().join(number, "shingle").groupBy("key").agg(
+        F.collect_list(F.struct("shingle", "n")).alias("counts")
+    )
+    return stored(items.join(counts, "key", "left").drop("key"), "items")
+
+
+def _parts(items: DataFrame):
+    """(items, shingle counts) in bounded parts, read in the order of item_id."""
+    part, size, counts = [], 0, {}
     for row in items.orderBy("item_id", "text").toLocalIterator():
         text = row.text.encode()
         part.append((row.item_id, text))
+        counts.update((c.shingle % 2**64, c.n) for c in row["counts"] or [])
         size += len(text) // 6
         if len(part) == ITEMS or size > ITEM_WORDS:
-            yield part
-            part, size = [], 0
+            yield part, counts
+            part, size, counts = [], 0, {}
     if part:
-        yield part
+        yield part, counts
+
+
+def _indexed(sent, tag) -> Index:
+    if tag not in _STATE:
+        _STATE.clear()
+        _STATE[tag] = Index(*sent.value)
+    return _STATE[tag]
+
+
+def _held(texts: DataFrame, items: DataFrame, n_items: int) -> DataFrame:
+    """``texts`` that share a shingle with any item, with ``shingles``: those shingles' hashes and item counts."""
+    held = None
+    for part, counts in _parts(items):
+        sent = texts.sparkSession.sparkContext.broadcast((part, counts, n_items))
+        tag = uuid.uuid4().hex
+
+        def run(batches, sent=sent, tag=tag):
+            index = _indexed(sent, tag)
+            frequency = sent.value[1]
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    values = index.known[index.held(text or b"")]
+                    n = [frequency[h] for h in values.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(n), pa.string()), pa.array(values.view(np.int64)), pa.array(n, pa.int64())],
+                        names=["key", "shingle", "n"],
+                    )
+
+        one = texts.select(F.sha1("text").alias("key"), "text").mapInArrow(run, "key string, shingle long, n long")
+        held = one if held is None else held.unionByName(one)
+    of = held.distinct().groupBy("key").agg(F.collect_list(F.struct("shingle", "n")).alias("shingles"))
+    return stored(texts.withColumn("key", F.sha1("text")).join(of, "key").drop("key"), "held")
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_words, hamming`` of each document's items."""
     spark = documents.sparkSession
     schema = "doc_id long, item_id long, similarity double, start_word int, n_words int, hamming int"
-    n_items = benchmark.count()
+    items = _counted(benchmark)
+    n_items = max(items.count(), 1)
     found = spark.createDataFrame([], schema)
     texts = documents.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    for number, part in enumerate(_parts(benchmark)):
-        counts: dict[int, int] = {}
-        for _, text in part:
-            for h in np.unique(shingle_hashes(word_hashes(text))).tolist():
-                counts[h] = counts.get(h, 0) + 1
-        sent = spark.sparkContext.broadcast((part, counts, max(n_items, 1)))
-        tag = (id(sent), number)
+    several = len(list(islice(_parts(items), 2))) > 1
+    if several:
+        texts = _held(texts, items, n_items)
+    for part, counts in _parts(items):
+        sent = spark.sparkContext.broadcast((part, counts, n_items))
+        tag = uuid.uuid4().hex
 
         def run(batches, sent=sent, tag=tag):
-            if tag not in _STATE:
-                _STATE.clear()
-                _STATE[tag] = Index(*sent.value)
-            index = _STATE[tag]
+            index = _indexed(sent, tag)
             for batch in batches:
                 rows = []
                 ids = batch.column(0).to_pylist()
-                for doc, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    for item, best in index.matches(text or b"", least).items():
+                shared = batch.column(2).to_pylist() if several else [None] * len(ids)
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                for doc, text, own in zip(ids, texts, shared, strict=True):
+                    known = None
+                    if own is not None:
+                        hashes = np.array([c["shingle"] for c in own], dtype=np.int64).view(np.uint64)
+                        order = np.argsort(hashes)
+                        weights = 1 + np.log(n_items / np.array([c["n"] for c in own], dtype=np.float64))
+                        known = hashes[order], weights[order]
+                    for item, best in index.matches(text or b"", least, known).items():
                         rows.append((doc, index.ids[item], *best))
                 if rows:
                     columns = zip(*rows, strict=True)

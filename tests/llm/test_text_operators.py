@@ -150,6 +150,24 @@ def test_copies_of_repetitive_items_are_found(spark):
         assert abs(got[i, i].similarity - 1) < 1e-9 and got[i, i].start_word == 15 and got[i, i].hamming == 0
 
 
+def test_cutting_the_benchmark_into_parts_changes_nothing(spark, monkeypatch):
+    rng = random.Random(23)
+    common = prose(rng, 16)
+    items = [(i, f"{common} {prose(rng, rng.randint(14, 40))}") for i in range(12)] + [(50, None), (51, "one two three")]
+    rows = [(i, f"{prose(rng, 12)} {t} {common} one two three", None, 1, 1, "") for i, t in items if t]
+    for i, t in items[:12]:
+        cut = t.split()
+        cut[rng.randrange(16, len(cut))] = "other"
+        rows.append((100 + i, " ".join([prose(rng, 5), *cut, common]), None, 1, 1, ""))
+    rows += [(200, None, None, 1, 1, ""), rows[0]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.matches(documents(spark, rows), bench).collect()))
+    monkeypatch.setattr(decontaminate, "ITEMS", 5)
+    cut = sorted(map(tuple, decontaminate.matches(documents(spark, rows), bench).collect()))
+    assert [r[:2] + r[3:] for r in cut] == [r[:2] + r[3:] for r in whole] and len(whole) > 20
+    assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(cut, whole, strict=True))
+
+
 def test_multi_index_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(2)
     items = [(i, " ".join(str(x) for x in rng.integers(0, 999, 20)).encode()) for i in range(40)]
