@@ -8,14 +8,15 @@ Terms carry boundary marks. Nystroem landmarks make the kernel linear, and since
 inner product over triples, the whole expansion folds into one weight per triple: scoring a term
 costs as many look-ups as it has triples, whatever the number of landmarks.
 
-Labels belong to documents, so training is multi-instance: each term of a clean document is clean;
-of a toxic one at least one term (the witness, chosen anew each round) is toxic. A document's
+Labels belong to documents, so training is multi-instance: each term window of a clean document is
+clean; of a toxic one at least one window (the witness, chosen anew each round) is toxic. A document's
 margin is its largest term margin; Platt scaling turns it into a score.
 
 Defined results: null and empty texts have the margin of no term at all and get the score of the
 lowest margin; repeated rows are scored alike; without labels of both classes every score is 0.
 Clashing columns named like an output give way. The fit uses at most ``max_bags`` documents a
-class, picked by a hash of doc_id; scoring reads every whole text.
+class, picked by a hash of doc_id, and of their clean windows ``negatives``, picked by a hash, and each round
+the ``hard`` ones that come out highest; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def _norms(m: np.ndarray) -> np.ndarray:
 
 
 def term_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """SVM margin of each word: the largest of its windows. Blocks hold words of like length."""
+    """SVM margin of each word: the largest of its windows."""
     cores = [w.strip(_EDGES) or w for w in words]
     long = [i for i, c in enumerate(cores) if len(c) > WIDTH]
     flat, owner = cores, list(range(len(cores)))
@@ -103,6 +104,15 @@ def term_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarra
         flat[i], *more = _windows(cores[i])
         flat += more
         owner += [i] * len(more)
+    out = _margins(flat, weights, bias)
+    best = out[:len(words)].copy()
+    if long:
+        np.maximum.at(best, owner, out)
+    return best
+
+
+def _margins(flat: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """SVM margin of each window. Blocks hold windows of like length."""
     lengths = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
     order = np.argsort(lengths, kind="stable")
     out = np.empty(len(flat))
@@ -115,10 +125,7 @@ def term_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarra
             total += weight * weights[code].sum(axis=1)
             norm += weight * weight * (code > 0).sum(axis=1)
         out[rows] = total / np.sqrt(norm) + bias
-    best = out[:len(words)].copy()
-    if long:
-        np.maximum.at(best, owner, out)
-    return best
+    return out
 
 
 class Landmarks:
@@ -209,12 +216,16 @@ def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def train(bags, labels, landmarks: int = 240, rounds: int = 3) -> Model:
-    """Multi-instance SVM over an iterable of documents' term sets; terms are kept once, as numbers."""
+def train(
+    bags, labels, landmarks: int = 240, rounds: int = 3, negatives: int = 12_000, hard: int = 3000
+) -> Model:
+    """Multi-instance SVM over an iterable of documents' term sets; every window of a term is one of the
+    document's, kept once, as a number."""
     place: dict[str, int] = {}
     held, truth = [], []
     for bag, label in zip(bags, labels, strict=True):
-        held.append(np.fromiter((place.setdefault(t, len(place)) for t in sorted(bag)), np.int32))
+        windows = dict.fromkeys(w for t in sorted(bag) for w in _windows(t))
+        held.append(np.fromiter((place.setdefault(w, len(place)) for w in windows), np.int32))
         truth.append(int(label))
     truth = np.array(truth)
     if not len(truth) or truth.min() == truth.max():
@@ -237,22 +248,21 @@ def train(bags, labels, landmarks: int = 240, rounds: int = 3) -> Model:
     positive = [x for x, t in zip(held, truth, strict=True) if t and len(x)]
     witness = np.array([x[gains[x].argmax()] for x in positive])
     clean = np.array(sorted(np.flatnonzero(c0), key=lambda i: (crc32(terms[i].encode("utf-8", "replace")), terms[i])), dtype=int)
-    core = lambda ids: [_windows(terms[i])[0] for i in ids]
-    marks = list(dict.fromkeys(core([*ranked[: landmarks // 2], *clean[: landmarks // 2]])))
+    marks = list(dict.fromkeys(terms[i] for i in [*ranked[: landmarks // 2], *clean[: landmarks // 2]]))
     landmark = Landmarks(marks)
     values, vectors = np.linalg.eigh(landmark.kernel(marks))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    negatives = clean[:12_000]
+    against = clean[:negatives]
     model = Model()
     for _ in range(rounds):
         chosen, times = np.unique(witness, return_counts=True)
-        ids = np.r_[chosen, np.setdiff1d(negatives, chosen)]
+        ids = np.r_[chosen, np.setdiff1d(against, chosen)]
         y = np.where(np.arange(len(ids)) < len(chosen), 1.0, -1.0)
         weight = np.ones(len(ids))
         weight[: len(chosen)] = np.minimum(times, 20)
         weight[: len(chosen)] *= max(1.0, (y < 0).sum() / weight[: len(chosen)].sum()) ** 0.5
-        v, bias = _svm(landmark.kernel(core(ids)) @ root, y, weight)
+        v, bias = _svm(landmark.kernel([terms[i] for i in ids]) @ root, y, weight)
         table = np.zeros(ALPHABET ** 3)
         m = _matrix(marks)
         scaled = (root @ v) / _norms(m)
@@ -260,11 +270,10 @@ def train(bags, labels, landmarks: int = 240, rounds: int = 3) -> Model:
             np.add.at(table, code, w * scaled[:, None])
         table[0] = 0
         model = Model(table, float(bias))
-        score = term_scores(terms, table, model.bias)
+        score = _margins(terms, table, model.bias)
         witness = np.array([x[score[x].argmax()] for x in positive])
-        # Clean terms that come out highest join the negatives.
-        hard = clean[np.argsort(-score[clean], kind="stable")[:3000]]
-        negatives = np.union1d(negatives, hard)
+        # Clean windows that come out highest join the negatives.
+        against = np.union1d(against, clean[np.argsort(-score[clean], kind="stable")[:hard]])
     model.floor = float(score.min())
     margins = np.array([score[x].max() if len(x) else model.floor for x in held])
     model.slope, model.offset = _platt(margins, truth)

@@ -268,6 +268,21 @@ def test_toxicity_tolerates_gaps_and_inserted_characters(spark, toxic_model):
     assert got[200].score == got[201].score < 0.5 and got[200].predicted == 0
 
 
+def test_toxicity_learns_from_every_window_of_a_long_word(spark):
+    rng = random.Random(31)
+    heads = ["longcoldgreenroundwarmoldblue", "softfastnewdryredlongroundgreen", "warmbluecoldnewfastoldsoftdry"]
+    bags, labels = [], []
+    for i in range(400):
+        word = rng.choice(heads) + (rng.choice(["scoundrel", "blockhead"]) if i % 4 == 0 else "greenhouse")
+        bags.append(toxicity.text_terms(f"{prose(rng, 30)} {word}"))
+        labels.append(int(i % 4 == 0))
+    model = toxicity.train(bags, labels)
+    rows = [(i, f"{prose(rng, 30)} {h}{w}", "en", 1, 1, "") for i, (h, w) in enumerate(
+        [(h, w) for h in heads for w in ("scoundrel", "blockhead")] + [(h, "greenhouse") for h in heads])]
+    got = {r.doc_id: r.predicted for r in toxicity.score(documents(spark, rows), model).collect()}
+    assert [got[i] for i in range(9)] == [1] * 6 + [0] * 3
+
+
 def test_toxicity_without_labels_rejects_nothing(spark, texts):
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(documents(spark, texts), labels)
