@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -146,3 +146,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("_root").alias("root"))
         if not changed:
             return labels
+
+
+def ranked(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df`` with ``rank`` (a row's place in its group, from 0), ``n`` (rows of the group) and ``row``
+    (a number that rises with group and order), stored once.
+
+    Rows are sorted by ranges, so a group may span many tasks; a task's rows of a group are counted
+    and the counts added up, which are as many as tasks and groups together.
+    """
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    placed = stored(
+        dealt.withColumn("row", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()),
+        "ranked",
+    )
+    pieces = placed.groupBy(group, "_part").agg(F.min("row").alias("_first"), F.count("*").alias("_rows"))
+    so_far = Window.partitionBy(group).orderBy("_part")
+    offsets = pieces.select(
+        group, "_part", "_first",
+        (F.sum("_rows").over(so_far) - F.col("_rows")).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(group)).alias("n"),
+    )
+    found = placed.join(offsets, [group, "_part"])
+    return found.withColumn("rank", F.col("row") - F.col("_first") + F.col("_before")).drop(
+        "_part", "_first", "_before"
+    )

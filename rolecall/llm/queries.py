@@ -120,7 +120,14 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(pages, extract.train(extract.labelled_pages())).drop("html")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import merkle
+
+    return merkle.proofs(table(spark, sf_dir, "documents").select(*merkle.FIELDS))
+
+
 QUERIES = {
+    "op13_merkle": op13_merkle,
     "op7_main_text": op7_main_text,
     "op1_nearest": op1_nearest,
     "op5_token_rollups": op5_token_rollups,
@@ -133,7 +140,80 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
 }
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# crc32 of a decimal number: the table of the reflected polynomial 0xEDB88320, then byte by byte.
+_CRC = """
+crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(
+    list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)
+"""
+
+
+def _crc(value: str) -> str:
+    """SQL for the unsigned crc32 of a decimal number's text; reads crc_table from ``_CRC``."""
+    codes = f"list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = "lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step}))"
+
+
+def _tree_sql(name: str, leaves: str, group: str, heights: int) -> str:
+    """CTEs of one tree a group over ``leaves(group, r, d, n)``: levels, then per leaf its top digest
+    and the texts before and after its ancestor in every run of three."""
+    parts = [f"{name}0 AS (SELECT {group}, r, d, n FROM {leaves})"]
+    for k in range(heights):
+        parts.append(f"""{name}s{k} AS (
+            SELECT {group}, r, n,
+              coalesce(string_agg(d, '') OVER (PARTITION BY {group}, r // 3 ORDER BY r
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+              coalesce(string_agg(d, '') OVER (PARTITION BY {group}, r // 3 ORDER BY r
+                ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a
+            FROM {name}{k})""")
+        parts.append(f"""{name}{k + 1} AS (
+            SELECT {group}, r // 3 AS r, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY r))
+              ELSE any_value(d) END AS d, (n + 2) // 3 AS n
+            FROM {name}{k} GROUP BY {group}, r // 3, n)""")
+    return ",\n".join(parts)
+
+
+def _fold_sql(name: str, base: str, group: str, heights: int) -> str:
+    """CTEs that carry ``base(..., r, f, p)`` up a tree: f is folded, p collects the siblings."""
+    parts = [f"{name}f0 AS (SELECT *, r AS pos FROM {base})"]
+    for k in range(heights):
+        parts.append(f"""{name}f{k + 1} AS (
+            SELECT f.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.b || f.f || s.a) ELSE f.f END AS f,
+              f.p || s.b || s.a AS p, f.pos // 3 AS pos)
+            FROM {name}f{k} f JOIN {name}s{k} s
+              ON f.pos = s.r AND f.{group} IS NOT DISTINCT FROM s.{group})""")
+    return ",\n".join(parts)
+
+
+def _merkle_sql(heights: int = 13, above: int = 8) -> str:
+    """Trees of up to 3 ** heights documents a source and 3 ** above sources."""
+    def field(c):
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    cut = field("replace(text, chr(10), '')")
+    return f"""
+        WITH {_CRC},
+        leafs AS (SELECT doc_id, source, sha256({head} || {field("text")}) AS leaf,
+            CASE WHEN {_crc("doc_id")} % 2 = 0 THEN sha256({head} || {cut}) END AS cut FROM documents, crc_table),
+        based AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+            count(*) OVER (PARTITION BY source) AS n, leaf AS d, coalesce(cut, leaf) AS f, '' AS p FROM leafs),
+        {_tree_sql("t", "based", "source", heights)},
+        tops AS (SELECT 0 AS one, source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r,
+            count(*) OVER () AS n FROM t{heights}),
+        {_tree_sql("u", "tops", "one", above)},
+        {_fold_sql("t", "based", "source", heights)},
+        joined AS (SELECT x.* REPLACE (s.r AS r), 0 AS one, s.d AS subroot
+            FROM tf{heights} x JOIN tops s ON x.source IS NOT DISTINCT FROM s.source),
+        {_fold_sql("u", "(SELECT * EXCLUDE (pos) FROM joined)", "one", above)}
+        SELECT doc_id, leaf, subroot, u.d AS root, sha256(p) AS proof_sha256, f AS folded_root,
+               f = u.d AS verified
+        FROM uf{above} x JOIN u{above} u ON x.one = u.one"""
+
+
 SQL: dict[str, str] = {
+    "op13_merkle": _merkle_sql(),
     "op6_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
