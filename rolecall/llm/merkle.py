@@ -57,6 +57,11 @@ def leaf(text: str | Column = "text") -> Column:
     return digest(*[_field(F.col(c)) for c in FIELDS if c != "text"], _field(text))
 
 
+def _one(key: str) -> Column:
+    """The same group for all rows; no literal, so that joins on it stay joins on a key."""
+    return F.substring(key, 1, 0)
+
+
 def _heights(n: str) -> Column:
     """Heights of a tree over ``n`` leaves: how many powers of FAN lie below n."""
     return F.size(F.filter(F.array(*[F.lit(FAN**i) for i in range(39)]), lambda p: p < F.col(n)))
@@ -145,7 +150,7 @@ def build(docs: DataFrame) -> Manifest:
     )
     leaves = ranked(leaves, "_key", "doc_id", "leaf", "_tie").drop("_tie", "row")
     records, tops, tallest = trees(leaves.withColumnRenamed("leaf", "digest"), "_key", "tree")
-    tops = tops.withColumnRenamed("heights", "_own").withColumn("_all", F.lit(0))
+    tops = tops.withColumnRenamed("heights", "_own").withColumn("_all", _one("_key"))
     sources = stored(ranked(tops, "_all", "_key").drop("row"), "sources")
     upper, top, height = trees(sources, "_all", "sources")
     first = top.first()
@@ -212,13 +217,13 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     path = F.array().cast("array<struct<before:binary,after:binary>>")
     spark = requests.sparkSession
     first = spark.createDataFrame(
-        [(0, manifest.root, manifest.heights[1])] if manifest.root else [],
-        "_all int, digest string, heights int",
+        [("", manifest.root, manifest.heights[1])] if manifest.root else [],
+        "_all string, digest string, heights int",
     ).withColumn("path", path)
     of = {t: manifest.records.filter(F.col("tree") == t).drop("tree") for t in ("root", "source")}
     # Only sources that are asked for.
     asked = requests.select("_key").distinct()
-    sources = manifest.subroots.join(asked, "_key").withColumn("_all", F.lit(0))
+    sources = manifest.subroots.join(asked, "_key").withColumn("_all", _one("_key"))
     starts = descend(first, of["root"], sources, "_all", manifest.heights[1])
     starts = stored(starts.select("_key", "subroot", "digest", "heights", "path"), "starts")
     found = descend(starts, of["source"], requests, "_key", manifest.heights[0])

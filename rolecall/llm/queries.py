@@ -126,7 +126,30 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents").select(*merkle.FIELDS))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import runs
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", runs.words().alias("_words"))
+    whole = documents.select(
+        "doc_id",
+        runs.repeated_tail(F.col("_words"), F.crc32(F.col("doc_id").cast("string"))).alias("words"),
+    )
+    found = runs.with_runs(whole)
+    line = F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+        r["period"].cast("string"), F.lit("\n")))
+    best = runs.longest()
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
+    "op12_runs": op12_runs,
     "op13_merkle": op13_merkle,
     "op7_main_text": op7_main_text,
     "op1_nearest": op1_nearest,
@@ -212,7 +235,38 @@ def _merkle_sql(heights: int = 13, above: int = 8) -> str:
         FROM uf{above} x JOIN u{above} u ON x.one = u.one"""
 
 
+# Equal words at distance q, joined into stretches: a run of period q and length m + q for every m
+# consecutive positions whose word returns q later; of equal stretches the smallest period is kept.
+_RUNS_SQL = f"""
+    WITH {_CRC},
+    hashed AS (SELECT row_number() OVER () AS row, doc_id, {_crc("doc_id")} AS h,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents, crc_table),
+    sized AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM hashed),
+    tail AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a,
+        CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM sized),
+    lists AS (SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN w[1:a] || list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1]) ELSE w END AS w FROM tail),
+    words AS (SELECT row, n, unnest(w) AS word, unnest(range(n)) AS i FROM lists),
+    pairs AS (SELECT x.row, x.i, y.i - x.i AS q FROM words x JOIN words y
+        ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    islands AS (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs),
+    spans AS (SELECT row, min(i) AS start, count(*) + q AS length, q AS period
+        FROM islands GROUP BY row, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS (SELECT row, start, length, min(period) AS period FROM spans GROUP BY ALL),
+    per_doc AS (SELECT row, count(*) AS n_runs,
+        min(struct_pack(a := -length, b := start, c := period)) AS best,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+        FROM runs GROUP BY row),
+    dropped AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS collapsed
+        FROM words ANTI JOIN dropped USING (row, i) GROUP BY row)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.b AS start, -best.a AS length, best.c AS period,
+        1000 * -best.a // best.c AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+        sha256(coalesce(collapsed, '')) AS collapsed_sha256
+    FROM lists LEFT JOIN per_doc USING (row) LEFT JOIN kept USING (row)"""
+
 SQL: dict[str, str] = {
+    "op12_runs": _RUNS_SQL,
     "op13_merkle": _merkle_sql(),
     "op6_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
