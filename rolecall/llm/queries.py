@@ -148,7 +148,14 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolecall.llm import ego
+
+    return ego.link(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_near_vectors": op11_near_vectors,
     "op12_runs": op12_runs,
     "op13_merkle": op13_merkle,
     "op7_main_text": op7_main_text,
@@ -265,7 +272,26 @@ _RUNS_SQL = f"""
         sha256(coalesce(collapsed, '')) AS collapsed_sha256
     FROM lists LEFT JOIN per_doc USING (row) LEFT JOIN kept USING (row)"""
 
+_NEAR_SQL = """
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, label,
+        CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    whole AS MATERIALIZED (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    usable AS MATERIALIZED (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM whole
+        WHERE list_dot_product(e, e) > 0),
+    links AS MATERIALIZED (SELECT a.row AS x, b.row AS y FROM usable a JOIN usable b
+        ON a.label = b.label AND len(a.e) = len(b.e) AND a.row <> b.row
+        AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+    reach AS (SELECT row AS x, row AS y FROM v
+        UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+    least AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON y = row GROUP BY x),
+    counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id,
+        coalesce(vec_id = component_id, false) AS kept
+    FROM v JOIN least l ON v.row = l.x LEFT JOIN counted c ON v.row = c.x"""
+
 SQL: dict[str, str] = {
+    "op11_near_vectors": _NEAR_SQL,
     "op12_runs": _RUNS_SQL,
     "op13_merkle": _merkle_sql(),
     "op6_warc": f"""
