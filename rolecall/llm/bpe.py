@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text's bytes are cut where a hash of the last eight bytes meets a fixed pattern, so equal passages
-are cut alike wherever they stand. Each task keeps a bounded memo of chunks: a chunk met again, in
+are cut alike wherever they stand. Each task keeps a memo of chunks, bounded by bytes and ended with the task: a chunk met again, in
 whichever document, is not encoded again. Inside a new chunk the white-space pieces are the unit of
 reuse, with a memo of their own.
 
@@ -9,7 +9,8 @@ A cut may fall inside a word, so only what lies between a chunk's first and last
 taken from its encoding. The join is repaired: the loose end before the cut and the loose start after
 it are put together and encoded anew, and the repair widens over further chunks until it stands
 between white space on both sides. There the tokenizer's pre-splitting starts afresh, so the
-separate and the whole encoding agree exactly; tests compare with the library on whole texts.
+separate and the whole encoding agree exactly; tests compare with the library on whole texts. The ids of a whole
+text are decoded by the tokenizer's own decoder. A tokenizer that does not part words at blanks is refused.
 
 Defined results: null is the empty text, with no tokens and the digest of nothing; repeated rows are
 encoded alike; columns named like an output give way. The tokenizer file is a parameter and must lie
@@ -25,13 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rolecall.llm.common import Recent, with_columns
+from rolecall.llm.common import Recent, kept_in_task, with_columns
 
 CHUNK_BITS = 9  # chunks of 512 bytes on average
-WORDS, CHUNKS = 300_000, 4_000  # memo entries of a generation
+WORDS, CHUNKS = 32 << 20, 12 << 20  # bytes of a memo generation
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[ \t\n\r]+")
-_STATE: dict[str, "Coder"] = {}
 
 OUTPUTS = {
     "n_tokens": T.LongType(),
@@ -74,34 +74,42 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.names: dict[int, str] = {i: t for t, i in self.tokenizer.get_vocab().items()}
-        self.ends = {i for i, t in self.names.items() if t.endswith("</w>")}
-        self.words, self.chunks = Recent(WORDS), Recent(CHUNKS)
-        self.signs = {
-            c: self._entry(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"
-        }
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.words, self.chunks = Recent(WORDS), Recent(CHUNKS, entry=600)
+        if self._ids("ab cd\nab") != [*self._ids("ab"), *self._ids("cd"), *self._ids("ab")]:
+            raise ValueError(f"{path} does not encode words between blanks by themselves")
+        # Words of ASCII letters may share the encoding of their lower case, and signs stand apart.
+        self.plain = all(
+            self._ids(a) == self._ids(b) + self._ids(c)
+            for a, b, c in (("Ab", "ab", ""), ("ab.", "ab", "."), ("aB,", "ab", ","))
+        )
+        self.signs = {c: self._entry(self._ids(c)) for c in ".,"}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, fresh: list[bytes]) -> None:
-        """Encode new pieces. One of letters only, but for a last full stop or comma, shares the
-        encoding of its lower-cased letters."""
+        """Encode new pieces. One of ASCII letters only, but for a last full stop or comma, shares the
+        encoding of its lower-cased letters. Other letters may join with what follows them when they are
+        brought to their normal form, so their pieces are encoded whole."""
         whole, made, cores = [], [], {}
         for piece in fresh:
             text = piece.decode()
             core, tail = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
-            if not core.isalpha():
+            if not (self.plain and core.isascii() and core.isalpha()):
                 whole.append(piece)
                 continue
-            key = (core.lower() if core.isascii() else core).encode()
+            key = core.lower().encode()
             made.append((piece, key, tail))
             cores[key] = None
         memo = self.words
         self._letters(memo.missing(cores))
         young = memo.young
         for piece, key, tail in made:
-            n, ids, names = young[key]
+            n, ids = young[key]
             if tail:
                 more = self.signs[tail]
-                young[piece] = (n + more[0], f"{ids} {more[1]}", f"{names} {more[2]}")
+                young[piece] = (n + more[0], f"{ids} {more[1]}")
             elif piece != key:
                 young[piece] = young[key]
         if whole:
@@ -111,8 +119,8 @@ class Coder:
             for piece, e in zip(whole, found, strict=True):
                 young[piece] = self._entry(e.ids)
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+    def _entry(self, ids: list[int]) -> tuple[int, str]:
+        return len(ids), " ".join(map(str, ids))
 
     def _letters(self, cores: list[bytes]) -> None:
         """Encode words of letters, many in one call; a word's last token closes it."""
@@ -140,8 +148,8 @@ class Coder:
             return None
         return parts[0], _pieces(b" ".join(parts[1:-1])), parts[-1]
 
-    def encode(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
-        """(number of tokens, ids, tokens) of each text; ids and tokens joined by a space."""
+    def encode(self, texts: list[bytes]) -> list[tuple[int, str]]:
+        """(number of tokens, ids joined by a space) of each text."""
         self.words.room()
         self.chunks.room()
         plans, wanted, opened = [], set(), {}
@@ -173,22 +181,18 @@ class Coder:
             found = [x for x in map(word, entry[1]) if x[0]]
             self.chunks.young[chunk] = (
                 entry[0],
-                (sum([x[0] for x in found]), " ".join([x[1] for x in found]),
-                 " ".join([x[2] for x in found])),
+                (sum([x[0] for x in found]), " ".join([x[1] for x in found])),
                 entry[2],
             )
         out = []
         for plan in plans:
             found = [self.chunks.young[x][1] if inside else word(x) for inside, x in plan]
             found = [x for x in found if x[0]]
-            out.append((
-                sum([x[0] for x in found]), " ".join([x[1] for x in found]),
-                " ".join([x[2] for x in found]),
-            ))
+            out.append((sum([x[0] for x in found]), " ".join([x[1] for x in found])))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 def _digest(text: str) -> str:
@@ -202,11 +206,13 @@ def encode(
 ) -> DataFrame:
     """Every row with the wanted ``outputs`` (see OUTPUTS) of its whole ``text``."""
 
+    decoding = bool({"decoded", "decoded_sha256"} & set(outputs))
+    numbered = decoding or "ids" in outputs
+
     def compute(batch):
         import pyarrow as pa
 
-        if path not in _STATE:
-            _STATE[path] = Coder(path)
+        coder = kept_in_task(path, lambda: Coder(path))
         column = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
         texts = [t or b"" for t in column.to_pylist()]
         done = []
@@ -216,13 +222,16 @@ def encode(
             while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
                 size += len(texts[to])
                 to += 1
-            for n, ids, tokens in _STATE[path].encode(texts[at:to]):
+            found = coder.encode(texts[at:to])
+            numbers = [[int(i) for i in ids.split()] if numbered else None for _, ids in found]
+            decoded = coder.decode(numbers) if decoding else [""] * len(found)
+            for (n, ids), own, text in zip(found, numbers, decoded, strict=True):
                 done.append((
                     n,
-                    [int(i) for i in ids.split()] if "ids" in outputs else None,
+                    own if "ids" in outputs else None,
                     _digest(ids) if "ids_sha256" in outputs else None,
-                    tokens if "decoded" in outputs else None,
-                    _digest(tokens) if "decoded_sha256" in outputs else None,
+                    text if "decoded" in outputs else None,
+                    _digest(text) if "decoded_sha256" in outputs else None,
                 ))
             at = to
         columns = dict(zip(OUTPUTS, zip(*done, strict=True), strict=True))

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,22 +50,46 @@ def with_columns(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = compute(batch)
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
-            columns += [pa.array(v, f.type) for v, f in zip(new, list(arrow)[len(kept):], strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                new = compute(batch)
+                columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+                columns += [pa.array(v, f.type) for v, f in zip(new, list(arrow)[len(kept):], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+        finally:
+            let_go()
 
     return df.mapInArrow(run, schema)
 
 
+_KEPT: list = [None, None]
+
+
+def kept_in_task(name, make: Callable):
+    """What a worker keeps between the batches of one task under ``name``: a single thing, made anew
+    for another name or task and let go by ``let_go`` when the task ends."""
+    task = TaskContext.get()
+    key = (name, task.taskAttemptId() if task else None)
+    if _KEPT[0] != key:
+        let_go()
+        _KEPT[:] = [key, make()]
+    return _KEPT[1]
+
+
+def let_go() -> None:
+    _KEPT[:] = [None, None]
+
+
 class Recent:
-    """A bounded memo of two generations: the older one goes when the younger is full."""
+    """A memo of two generations, each of about ``most`` bytes: the older one goes when the younger is full.
+
+    An entry is reckoned at ``entry`` bytes and ``per_byte`` for each byte or character of its key."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int, entry: int = 300, per_byte: int = 8):
+        self.most, self.entry, self.per_byte = most, entry, per_byte
+        self.young, self.old = {}, {}
 
     def missing(self, keys) -> list:
         """Keys without a value; keys found in the old generation move to the young one."""
@@ -79,7 +104,7 @@ class Recent:
 
     def room(self) -> None:
         """Call between batches: a full young generation becomes the old one."""
-        if len(self.young) > self.most:
+        if len(self.young) * self.entry + sum(map(len, self.young)) * self.per_byte > self.most:
             self.young, self.old = {}, self.young
 
 

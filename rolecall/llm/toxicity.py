@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecall.llm.common import Recent, hash_bucket, text_of, with_columns
+from rolecall.llm.common import Recent, hash_bucket, kept_in_task, text_of, with_columns
 
 WIDTH = 24  # characters of a term window
 SPAN = 5  # largest distance of a triple's first and last character
@@ -303,7 +303,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_bags: int = 1000) -> Model:
     return train((text_terms(r.text) for r in rows), [r["_label"] for r in rows])
 
 
-_MEMO: dict[str, Recent] = {}
+# Bytes of a generation of scored terms.
+MEMO = 24 << 20
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -316,10 +317,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         if model.weights is None:
             return [np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int32)]
-        if tag not in _MEMO:
-            _MEMO.clear()
-            _MEMO[tag] = Recent(400_000)
-        memo, margins = _MEMO[tag], np.empty(len(texts))
+        memo = kept_in_task(tag, lambda: Recent(MEMO, entry=180, per_byte=2))
+        margins = np.empty(len(texts))
         for at in range(0, len(texts), 64):
             memo.room()
             bags = [text_terms(t or "") for t in texts[at:at + 64]]

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from rolecall.llm import bpe, decontaminate, extract, jaccard, langid, pii, toxicity
+from rolecall.llm import bpe, common, decontaminate, extract, jaccard, langid, pii, toxicity
 from rolecall.llm.common import components
 from rolecall.llm.shingles import shingle_hashes, word_hashes
 
@@ -95,6 +95,41 @@ def test_bpe_equals_the_library(spark, texts):
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_letter_before_a_sign_and_random_characters():
+    import sys
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, coder, rng = Tokenizer.from_file(path), bpe.Coder(path), random.Random(12)
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LM"]
+    words = [w for c in letters for w in (f"{c}.", f"a{c},")]
+    texts = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+    some = [chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x20, 0x3000), rng.randrange(0xE000, 0x11000)]))
+            for _ in range(60_000)]
+    texts += ["".join(some[i:i + 60]) for i in range(0, len(some), 60)]
+    texts += ["হয়, হয়. ड़, שּ. İ, ﬁ. A. B, Ab. \x1c.\x85,", "x" * 100_000 + ".", ". , ., ,."]
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    got = coder.encode([t.encode() for t in texts])
+    for text, (n, ids), want in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert n == len(want.ids) and ids == " ".join(map(str, want.ids)), text[:80]
+
+
+def test_memos_are_bounded_by_bytes_and_tokenizers_without_blanks_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    memo = common.Recent(10_000, entry=100, per_byte=1)
+    for i in range(1000):
+        memo.room()
+        memo.young[f"{i:0100}"] = i
+        assert len(memo.young) + len(memo.old) <= 102
+    plain = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate("abcd \n")} | {"b ": 6}, merges=[("b", " ")]))
+    plain.save(str(tmp_path / "plain.json"))
+    with pytest.raises(ValueError):
+        bpe.Coder(str(tmp_path / "plain.json"))
+
+
 def test_chunks_are_cut_alike_and_give_the_text_back():
     rng = random.Random(1)
     shared = prose(rng, 900).encode()
