@@ -31,7 +31,9 @@ from rolecall.operators import (  # noqa: E402
     textcluster,
     timeline,
 )
-from rolecall.plans.publish import fingerprint  # noqa: E402
+from rolecall.functions.digest import digest  # noqa: E402
+from rolecall.plans.publish import exists, fingerprint  # noqa: E402
+from rolecall.session import checkpoint_root  # noqa: E402
 from rolecall.sources import envelope, star  # noqa: E402
 from rolecall.spec import MISTYPED, PRODUCT, ROW_INDEX, SOURCE, VENDOR  # noqa: E402
 
@@ -181,20 +183,26 @@ def _text_weights(spark, sf):
     return found.withColumn("weight", F.round("weight", 6))
 
 
-_ANALYSES: dict = {}
+CLUSTER_TABLES = ("selection", "records", "summary", "keywords", "projection")
 
 
 def _clusters(part):
-    """One table of the analysis with the operator's defaults; the five queries share one fit."""
+    """One table of the analysis with the operator's defaults. The tables are stored in the shared
+    folder under the digest of the records they come from: the first query over new or changed records
+    fits, the others read what it has stored."""
 
     def query(spark, sf):
-        key = (spark.sparkContext.applicationId, sf)
-        if key not in _ANALYSES:
-            docs = star.documents_catalog(spark, sf)
-            _ANALYSES[key] = textcluster.analyze(docs, DOCS)
-            _ANALYSES[key].release()
-        result = _ANALYSES[key]
-        return result.projection() if part == "projection" else getattr(result, part)
+        docs = star.documents_catalog(spark, sf)
+        row = digest(docs).first()
+        kept = f"{checkpoint_root(spark)}/clusters-{row.row_count}-{row.fingerprint}"
+        if not exists(spark, f"{kept}/_done/_SUCCESS"):
+            found = textcluster.analyze(docs, DOCS)
+            for name in CLUSTER_TABLES:
+                df = found.projection() if name == "projection" else getattr(found, name)
+                df.write.mode("overwrite").parquet(f"{kept}/{name}")
+            found.release()
+            spark.range(1).write.mode("overwrite").parquet(f"{kept}/_done")
+        return spark.read.parquet(f"{kept}/{part}")
 
     return query
 
@@ -491,6 +499,34 @@ FROM ven
 """
 
 
+def _digest_sql(table: str, columns: dict[str, str]) -> str:
+    """The digest of ``rolecall.functions.digest`` over columns of kinds text, float and time."""
+    grid = f"{2**40}.0"
+
+    def text(name: str, kind: str) -> str:
+        if kind == "time":
+            return f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f')"
+        if kind == "text":
+            return f"CAST({name} AS VARCHAR)"
+        rest = f"(abs({name}) - floor(abs({name}) / {grid}) * {grid})"
+        first = f"(({rest} - floor({rest})) * {grid})"
+        second = f"(({first} - floor({first})) * {grid})"
+        parts = [f"CAST(floor({p}) AS BIGINT)" for p in (f"abs({name}) / {grid}", rest, first, second)]
+        joined = " || '_' || ".join(parts)
+        return (f"CASE WHEN isnan({name}) THEN 'nan' WHEN isinf({name}) THEN CASE WHEN {name} > 0 THEN 'inf' "
+                f"ELSE '-inf' END ELSE CASE WHEN {name} < 0 THEN 'f-' ELSE 'f' END || {joined} END")
+
+    row = " || ".join(
+        f"coalesce(strlen({text(c, k)}) || ':' || {text(c, k)}, '-')" for c, k in columns.items()
+    )
+    limbs = " || ".join(
+        f"lpad(lower(to_hex(CAST(coalesce(sum(CAST(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) "
+        f"AS HUGEINT)), 0) % {2**64} AS UBIGINT))), 16, '0')" for i in range(4)
+    )
+    return f"""SELECT count(*) AS row_count, {limbs} AS fingerprint
+        FROM (SELECT sha256({row}) AS h FROM {table})"""
+
+
 def oracle_sql() -> dict[str, str]:
     stop = ", ".join(f"'{w}'" for w in STOP)
     bands = ", ".join(
@@ -719,6 +755,10 @@ def oracle_sql() -> dict[str, str]:
         "envelope_problems": """
             SELECT 'envelope' AS kind, CAST(0 AS BIGINT) AS n
             UNION ALL SELECT 'extra field', count(*) FROM orders""",
+        "table_fingerprint": _digest_sql("lineitem", {
+            **dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "text"),
+            **dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "float"),
+            "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time"}),
         "analysis_text": r"""
             WITH d AS (
               SELECT doc_id, regexp_replace(regexp_replace(text,

@@ -24,7 +24,7 @@ from rolecall.operators import (
     textcluster,
     timeline,
 )
-from rolecall.plans.publish import MANIFEST, Publisher, fingerprint, source_digest
+from rolecall.plans.publish import Publisher, fingerprint, source_digest
 from rolecall.plans.registry import (
     metadata_output,
     missing_outputs,
@@ -52,6 +52,7 @@ class RunConfig:
     cases: tuple[dict, ...] | None = None
     run_id: str | None = None
     digest_input: bool = True  # one more pass over the input
+    file_digests: bool = False  # one more pass over the outputs
 
 
 @dataclass(frozen=True)
@@ -152,9 +153,7 @@ def _analyses(prepared: DataFrame, config: RunConfig):
 
 
 def _finish(out: Publisher, state: str, config: RunConfig, digest: str) -> DataFrame:
-    path = f"{out.root}/{MANIFEST}"
-    out.manifest(state, config.source, digest).coalesce(1).write.mode("overwrite").json(path)
-    return out.manifest(state, config.source, digest)
+    return out.finish(state, config.source, digest, config.spec, config.file_digests)
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
@@ -165,13 +164,14 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def run_core(spark: SparkSession, config: RunConfig) -> tuple[Publisher, DataFrame | None, str]:
     """Ingest, check and, if the input is valid, publish the prepared table and return it.
 
-    What an earlier run of the same id has published goes first; the landed records go at the end.
+    Everything is staged: what an earlier run of the same id has published stays until this one is
+    finished. The landed records go at the end.
     """
     if config.input_kind not in INPUT_KINDS:
         raise ValueError(f"input_kind must be one of {INPUT_KINDS}")
     run_id = config.run_id or uuid.uuid4().hex[:12]
     out = Publisher(spark, f"{config.output_root.rstrip('/')}/run-{run_id}", config.format)
-    out.clear(config.spec)
+    out.recover(config.spec)
     landing = f"{checkpoint_root(spark)}/landed-{run_id}-{uuid.uuid4().hex}"
     try:
         metadata, raw = _ingest(spark, config, landing)
