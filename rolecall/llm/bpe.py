@@ -9,8 +9,9 @@ A cut may fall inside a word, so only what lies between a chunk's first and last
 taken from its encoding. The join is repaired: the loose end before the cut and the loose start after
 it are put together and encoded anew, and the repair widens over further chunks until it stands
 between white space on both sides. There the tokenizer's pre-splitting starts afresh, so the
-separate and the whole encoding agree exactly; tests compare with the library on whole texts. The ids of a whole
-text are decoded by the tokenizer's own decoder. A tokenizer that does not part words at blanks is refused.
+separate and the whole encoding agree exactly; tests compare with the library on whole texts. The
+tokenizer's decoder decodes each piece's ids once a memo, since it puts a space between tokens; for a
+file whose decoder does not, whole texts are decoded. A file that does not part words at blanks is refused.
 
 Defined results: null is the empty text, with no tokens and the digest of nothing; repeated rows are
 encoded alike; columns named like an output give way. The tokenizer file is a parameter and must lie
@@ -83,44 +84,49 @@ class Coder:
             self._ids(a) == self._ids(b) + self._ids(c)
             for a, b, c in (("Ab", "ab", ""), ("ab.", "ab", "."), ("aB,", "ab", ","))
         )
-        self.signs = {c: self._entry(self._ids(c)) for c in ".,"}
+        # Whether the decoder puts a space between pieces, so that they can be decoded one by one.
+        probe = [self._ids("ab. cd"), self._ids("ab."), self._ids("cd")]
+        whole, first, second = self.decode(probe)
+        self.joins = whole == f"{first} {second}"
+        self.signs = dict(zip(".,", self._entries([self._ids("."), self._ids(",")]), strict=True))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, fresh: list[bytes]) -> None:
-        """Encode new pieces. One of ASCII letters only, but for a last full stop or comma, shares the
-        encoding of its lower-cased letters. Other letters may join with what follows them when they are
-        brought to their normal form, so their pieces are encoded whole."""
+        """Encode new pieces. One of letters up to U+00FF only, but for a last full stop or comma, shares
+        the encoding of its letters, in lower case if ASCII. Other letters may join with what follows them
+        when they are brought to their normal form, so their pieces are encoded whole."""
         whole, made, cores = [], [], {}
         for piece in fresh:
             text = piece.decode()
             core, tail = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
-            if not (self.plain and core.isascii() and core.isalpha()):
+            if not (self.plain and core.isalpha() and max(core) <= "\xff"):
                 whole.append(piece)
                 continue
-            key = core.lower().encode()
+            key = (core.lower() if core.isascii() else core).encode()
             made.append((piece, key, tail))
             cores[key] = None
         memo = self.words
         self._letters(memo.missing(cores))
         young = memo.young
         for piece, key, tail in made:
-            n, ids = young[key]
+            n, ids, text = young[key]
             if tail:
                 more = self.signs[tail]
-                young[piece] = (n + more[0], f"{ids} {more[1]}")
+                young[piece] = (n + more[0], f"{ids} {more[1]}", f"{text} {more[2]}")
             elif piece != key:
                 young[piece] = young[key]
         if whole:
             found = self.tokenizer.encode_batch_fast(
                 [w.decode() for w in whole], add_special_tokens=False
             )
-            for piece, e in zip(whole, found, strict=True):
-                young[piece] = self._entry(e.ids)
+            young.update(zip(whole, self._entries([e.ids for e in found]), strict=True))
 
-    def _entry(self, ids: list[int]) -> tuple[int, str]:
-        return len(ids), " ".join(map(str, ids))
+    def _entries(self, ids: list[list[int]]) -> list[tuple[int, str, str]]:
+        """(number of tokens, ids joined by a space, decoded text) of each list of ids."""
+        texts = self.decode(ids) if self.joins else [""] * len(ids)
+        return [(len(i), " ".join(map(str, i)), t) for i, t in zip(ids, texts, strict=True)]
 
     def _letters(self, cores: list[bytes]) -> None:
         """Encode words of letters, many in one call; a word's last token closes it."""
@@ -132,14 +138,11 @@ class Coder:
             )[0].ids
             cut = [i + 1 for i, t in enumerate(ids) if t in ends]
             if len(cut) == len(part) and cut[-1] == len(ids):
-                start = 0
-                for core, stop in zip(part, cut, strict=True):
-                    young[core] = self._entry(ids[start:stop])
-                    start = stop
+                pieces = [ids[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+                young.update(zip(part, self._entries(pieces), strict=True))
             else:  # a vocabulary without word ends
-                for core in part:
-                    e = self.tokenizer.encode(core.decode(), add_special_tokens=False)
-                    young[core] = self._entry(e.ids)
+                each = [self._ids(core.decode()) for core in part]
+                young.update(zip(part, self._entries(each), strict=True))
 
     def _chunk(self, chunk: bytes):
         """(loose start, pieces between, loose end); without white space all is loose."""
@@ -148,8 +151,8 @@ class Coder:
             return None
         return parts[0], _pieces(b" ".join(parts[1:-1])), parts[-1]
 
-    def encode(self, texts: list[bytes]) -> list[tuple[int, str]]:
-        """(number of tokens, ids joined by a space) of each text."""
+    def encode(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
+        """(number of tokens, ids joined by a space, decoded text if ``joins``) of each text."""
         self.words.room()
         self.chunks.room()
         plans, wanted, opened = [], set(), {}
@@ -181,14 +184,18 @@ class Coder:
             found = [x for x in map(word, entry[1]) if x[0]]
             self.chunks.young[chunk] = (
                 entry[0],
-                (sum([x[0] for x in found]), " ".join([x[1] for x in found])),
+                (sum([x[0] for x in found]), " ".join([x[1] for x in found]),
+                 " ".join([x[2] for x in found])),
                 entry[2],
             )
         out = []
         for plan in plans:
             found = [self.chunks.young[x][1] if inside else word(x) for inside, x in plan]
             found = [x for x in found if x[0]]
-            out.append((sum([x[0] for x in found]), " ".join([x[1] for x in found])))
+            out.append((
+                sum([x[0] for x in found]), " ".join([x[1] for x in found]),
+                " ".join([x[2] for x in found]),
+            ))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -207,7 +214,6 @@ def encode(
     """Every row with the wanted ``outputs`` (see OUTPUTS) of its whole ``text``."""
 
     decoding = bool({"decoded", "decoded_sha256"} & set(outputs))
-    numbered = decoding or "ids" in outputs
 
     def compute(batch):
         import pyarrow as pa
@@ -223,9 +229,12 @@ def encode(
                 size += len(texts[to])
                 to += 1
             found = coder.encode(texts[at:to])
-            numbers = [[int(i) for i in ids.split()] if numbered else None for _, ids in found]
-            decoded = coder.decode(numbers) if decoding else [""] * len(found)
-            for (n, ids), own, text in zip(found, numbers, decoded, strict=True):
+            listed = "ids" in outputs or decoding and not coder.joins
+            numbers = [[int(i) for i in ids.split()] if listed else None for _, ids, _ in found]
+            decoded = [text for *_, text in found]
+            if decoding and not coder.joins:
+                decoded = coder.decode(numbers)
+            for (n, ids, _), own, text in zip(found, numbers, decoded, strict=True):
                 done.append((
                     n,
                     own if "ids" in outputs else None,

@@ -112,8 +112,10 @@ def test_every_letter_before_a_sign_and_random_characters():
     texts += ["হয়, হয়. ड़, שּ. İ, ﬁ. A. B, Ab. \x1c.\x85,", "x" * 100_000 + ".", ". , ., ,."]
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     got = coder.encode([t.encode() for t in texts])
-    for text, (n, ids), want in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
+    assert coder.joins
+    for text, (n, ids, decoded), want in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert n == len(want.ids) and ids == " ".join(map(str, want.ids)), text[:80]
+        assert decoded == library.decode(want.ids, skip_special_tokens=False)
 
 
 def test_memos_are_bounded_by_bytes_and_tokenizers_without_blanks_refused(tmp_path):
