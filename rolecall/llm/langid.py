@@ -9,17 +9,18 @@ are (the REJECT quantile): the prediction stays, marked as doubtful.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 first language in alphabetical order; without training rows all are ``und``; repeated rows get equal
-results; clashing columns give way. Centroids are fitted on at most ``max_rows`` documents a language,
-picked by a hash of doc_id; frequencies and predictions use every whole text.
+results and count once in the fit; clashing columns give way; rows without a doc_id are learnt from and
+not held out. Centroids are fitted on at most ``max_rows`` documents a language, picked by a hash of doc_id; frequencies and predictions use every whole text.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,22 +130,49 @@ class Model:
         return self.languages[i], float(1 / odds.sum()), distance, distance > self.limits[i]
 
 
+def _sampled(rows: DataFrame, max_rows: int) -> dict[str, list[np.ndarray]]:
+    """Counts of up to ``max_rows`` different documents a language, in the order of a hash of doc_id.
+
+    Only ids are ranked; the chosen ones, ``max_rows`` a language, find their texts, and of a text only
+    its counts leave the task, so what reaches the driver depends neither on the number of documents
+    nor on their length.
+    """
+    named = rows.select(
+        "lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), text_of().alias("text"),
+        F.xxhash64("doc_id").alias("place"), F.xxhash64(text_of()).alias("same"),
+    )
+    key = ["lang", "place", "doc", "same"]
+    order = Window.partitionBy("lang").orderBy(*key[1:])
+    ids = named.select(*key).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_rows)
+    # A text that stands in repeated rows is taken once.
+    texts = named.join(F.broadcast(ids.drop("_r")), key, "left_semi").dropDuplicates(key)
+
+    def run(batches):
+        for batch in batches:
+            found = [counts(t) for t in batch.column(4).to_pylist()]
+            data = [None if c is None else zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(4)] + [pa.array(data, pa.binary())], names=[*key, "counts"]
+            )
+
+    out: dict[str, list[np.ndarray]] = {}
+    sent = texts.select(*key, "text").mapInArrow(run, "lang string, place long, doc string, same long, counts binary")
+    for r in sorted(sent.collect(), key=lambda r: (r.lang, r.place, r.doc, r.same)):
+        if r.counts is not None:
+            c = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32).astype(float)
+            out.setdefault(r.lang, []).append(c)
+    return out
+
+
 def fit(documents: DataFrame, max_rows: int = 600) -> Model:
     """Learn from text and lang of the rows outside the held-out fold."""
     rows = documents.filter("lang IS NOT NULL").filter(
         hash_bucket("doc_id", FOLDS).isNull() | (hash_bucket("doc_id", FOLDS) != 2)
-    )
+    ).withColumn("lang", F.col("lang").cast("string"))
     df, n = frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())  # one row a language
     known, centres, owner, limits = [], [], [], []
-    for lang in languages:
-        sample = rows.filter(F.col("lang") == lang).select("doc_id", text_of().alias("text"))
-        sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows)
-        texts = [r.text for r in sample.select("text").collect()]  # max_rows whole texts
-        found = [c for c in map(counts, texts) if c is not None]
-        if not found:
-            continue
+    for lang, found in _sampled(rows, max_rows).items():
         x = np.stack([_vector(c, idf) for c in found])
         own = _clustered(x, CENTROIDS)
         limits.append(float(np.quantile(1 - (x @ own.T).max(axis=1), REJECT)))

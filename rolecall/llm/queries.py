@@ -17,7 +17,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
     return toxicity.score(documents.select("doc_id", "text"), model).select(
-        "doc_id", (hash_bucket("doc_id", toxicity.FOLDS) == 0).alias("held_out"), "score", "predicted"
+        "doc_id", F.coalesce(hash_bucket("doc_id", toxicity.FOLDS) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
     )
 
 
@@ -102,7 +102,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(documents.select("doc_id", "text"), langid.fit(documents))
     return found.select(
-        "doc_id", (hash_bucket("doc_id", langid.FOLDS) == 2).alias("held_out"),
+        "doc_id", F.coalesce(hash_bucket("doc_id", langid.FOLDS) == 2, F.lit(False)).alias("held_out"),
         "lang_pred", "score", "distance", "rejected",
     )
 

@@ -381,3 +381,20 @@ def test_extraction_of_awkward_rows(spark, field):
     df = spark.createDataFrame(rows * 2, "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract.extract(df, field).collect())
     assert got == sorted([(1, "", 0), (2, "", 0), (3, "Some words here.", 16)] * 2)
+
+
+def test_language_sample_is_one_of_ids_and_repeats_count_once(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 20 + i % 7), "aa" if i % 2 else "bb") for i in range(80)]
+    rows += [(None, "zeta eta theta " * 2000, "aa")] * 3 + [(900, None, "aa"), (901, "12 34", "bb"), (902, "word", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every = langid._sampled(df.filter("lang IS NOT NULL"), 1000)
+    twice = langid._sampled(df.union(df).repartition(7).filter("lang IS NOT NULL"), 1000)
+    assert {k: len(v) for k, v in every.items()} == {"aa": 41, "bb": 40}
+    for lang, found in every.items():
+        assert all((a == b).all() for a, b in zip(found, twice[lang], strict=True))
+    plain = sorted(langid.counts(t).tolist() for _, t, g in set(rows) if g == "aa" and t)
+    assert sorted(c.tolist() for c in every["aa"]) == plain
+    few = langid._sampled(df.filter("lang IS NOT NULL"), 10)
+    assert all((a == b).all() for g in few for a, b in zip(few[g], every[g][:10], strict=False))
+    assert langid._sampled(df.limit(0), 10) == {}
