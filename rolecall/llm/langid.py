@@ -10,7 +10,8 @@ are (the REJECT quantile): the prediction stays, marked as doubtful.
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 first language in alphabetical order; without training rows all are ``und``; repeated rows get equal
 results and count once in the fit; clashing columns give way; rows without a doc_id are learnt from and
-not held out. Centroids are fitted on at most ``max_rows`` documents a language, picked by a hash of doc_id; frequencies and predictions use every whole text.
+not held out. Centroids are fitted on at most ``max_rows`` documents a language, picked by a hash of doc_id
+and text; frequencies and predictions use every whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecall.llm.common import hash_bucket, text_of, with_columns
+from rolecall.llm.common import hash_bucket, stored, text_of, with_columns
 
 DIMENSIONS, CENTROIDS, FOLDS = 1 << 13, 4, 4
 REJECT = 0.995
@@ -131,7 +132,7 @@ class Model:
 
 
 def _sampled(rows: DataFrame, max_rows: int) -> dict[str, list[np.ndarray]]:
-    """Counts of up to ``max_rows`` different documents a language, in the order of a hash of doc_id.
+    """Counts of up to ``max_rows`` different documents a language, in the order of a hash of doc_id and text.
 
     Only ids are ranked; the chosen ones, ``max_rows`` a language, find their texts, and of a text only
     its counts leave the task, so what reaches the driver depends neither on the number of documents
@@ -139,13 +140,17 @@ def _sampled(rows: DataFrame, max_rows: int) -> dict[str, list[np.ndarray]]:
     """
     named = rows.select(
         "lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), text_of().alias("text"),
-        F.xxhash64("doc_id").alias("place"), F.xxhash64(text_of()).alias("same"),
+        F.xxhash64(F.col("doc_id").cast("string"), text_of()).alias("place"), F.xxhash64(text_of()).alias("same"),
     )
     key = ["lang", "place", "doc", "same"]
     order = Window.partitionBy("lang").orderBy(*key[1:])
-    ids = named.select(*key).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_rows)
+    ids = stored(named.select(*key).distinct(), "ids")
+    share = ids.groupBy("lang").agg(F.least(F.lit(4.0 * max_rows) / F.count("*"), F.lit(1.0)).alias("_share"))
+    # Hashes are even, so this leaves about 4 * max_rows of a large language and all of a small one.
+    low = ids.join(F.broadcast(share), "lang").filter(F.col("place") / F.lit(2.0**64) + 0.5 <= F.col("_share"))
+    ids = low.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_rows).select(*key)
     # A text that stands in repeated rows is taken once.
-    texts = named.join(F.broadcast(ids.drop("_r")), key, "left_semi").dropDuplicates(key)
+    texts = named.join(F.broadcast(ids), key, "left_semi").dropDuplicates(key)
 
     def run(batches):
         for batch in batches:
