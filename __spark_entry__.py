@@ -22,6 +22,7 @@ from rolecall.operators import (  # noqa: E402
     cases,
     concentration,
     durations,
+    guards,
     prepare,
     quality,
     search,
@@ -140,6 +141,61 @@ def _envelope_problems(spark, sf):
     )
 
 
+def _line_records(spark, sf):
+    """Lines of the order envelopes as typed records, with what breaks the contract."""
+    flat = envelope.flatten_records(star.line_envelopes(spark, sf))
+    return envelope.typed_records(flat, star.LINE_RECORDS, findings=True)
+
+
+def _envelope_line_documents(spark, sf):
+    """Broken envelope rules with the number of documents that break them."""
+    found = envelope.envelope_problems(star.line_envelopes(spark, sf))
+    rule = F.explode("problems").alias("problem")
+    return found.select(rule).groupBy("problem").agg(F.count("*").alias("document_count"))
+
+
+def _envelope_line_findings(spark, sf):
+    """Findings over all records in one pass: (kind, field, record_count)."""
+    found = {
+        "not an object": F.when(F.col("not_an_object"), F.array(F.lit(""))),
+        "missing": F.col("missing"),
+        "extra": F.col("extra"),
+        "mistyped": F.map_keys(MISTYPED),
+    }
+
+    def pairs(kind, names):
+        return F.transform(
+            F.coalesce(names, F.array().cast("array<string>")),
+            lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("field")),
+        )
+
+    all_pairs = F.concat(*[pairs(kind, names) for kind, names in found.items()])
+    rows = _line_records(spark, sf).select(F.inline(all_pairs))
+    return rows.groupBy("kind", "field").agg(F.count("*").alias("record_count"))
+
+
+def _envelope_line_records(spark, sf):
+    rows = _line_records(spark, sf).drop(SOURCE, *envelope.FINDINGS)
+    return rows.withColumn("flags", F.to_json("flags")).withColumn(
+        MISTYPED, F.array_join(F.array_sort(F.map_keys(MISTYPED)), ",")
+    )
+
+
+def _tag_long_repeated_ids(spark, sf):
+    """The long tag table of lines whose order ids repeat: the first line of each (order, flag)."""
+    rows = _line_records(spark, sf).drop(SOURCE, *envelope.FINDINGS)
+    return tags.long_table(prepare.prepare(rows, star.LINE_RECORDS)[0], star.LINE_RECORDS)
+
+
+def _guard_findings(spark, sf):
+    """All guards over all orders, under a stated period, a narrow domain and a strict tag pattern."""
+    strict = ORDERS.with_options(
+        period_start="1995-06", period_end="2000-12", status_domain=("F", "O"),
+        tag_pattern="Brand#[0-9]",
+    )
+    return guards.findings(star.orders_catalog(spark, sf), strict)
+
+
 def _raw_orders(spark, sf):
     return star.orders_catalog(spark, sf).select(*ORDERS.raw_fields)
 
@@ -323,6 +379,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "envelope_records": _envelope_records,
         "envelope_metadata": _envelope_metadata,
         "envelope_problems": _envelope_problems,
+        "envelope_line_documents": _envelope_line_documents,
+        "envelope_line_findings": _envelope_line_findings,
+        "envelope_line_records": _envelope_line_records,
+        "tag_long_repeated_ids": _tag_long_repeated_ids,
+        "guard_findings": _guard_findings,
         # outputs
         "table_fingerprint": lambda s, d: fingerprint(star.table(s, d, "lineitem")).drop("columns"),
         # text
@@ -437,6 +498,25 @@ hits AS (
     AND (status IS NULL OR o_orderstatus = status)
     AND (tag IS NULL OR contains(brands, '"' || tag || '"')))
 """
+_LINE_RECORDS = """
+placed AS (
+  SELECT *, l_quantity = 50 AS bare,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                            l_extendedprice) - 1 AS row_index
+  FROM lineitem),
+lr AS (
+  SELECT row_index, bare,
+         CASE WHEN NOT bare THEN CAST(l_orderkey AS VARCHAR) END AS l_orderkey,
+         CASE WHEN NOT bare AND l_quantity >= 5 THEN CAST(l_suppkey AS VARCHAR) END AS l_suppkey,
+         CASE WHEN NOT bare AND l_linenumber <> 7 THEN CAST(l_partkey AS VARCHAR) END AS l_partkey,
+         CASE WHEN NOT bare THEN strftime(l_shipdate, '%Y-%m-%d') END AS l_shipdate,
+         CASE WHEN NOT bare THEN l_returnflag END AS l_returnflag,
+         CASE WHEN NOT bare AND l_tax <> 0 THEN l_returnflag END AS flag_1,
+         CASE WHEN NOT bare AND l_tax <> 0 THEN l_linestatus END AS flag_2,
+         NOT bare AND l_tax = 0 AS bad_flags, NOT bare AND l_quantity < 5 AS bad_supplier,
+         NOT bare AND l_linenumber = 7 AS no_part, NOT bare AND l_discount = 0 AS has_comment
+  FROM placed)
+"""
 _RAW_LINES = """
 raw AS (
   SELECT l_orderkey || '-' || l_linenumber AS line_id, s_name, p_name,
@@ -755,6 +835,55 @@ def oracle_sql() -> dict[str, str]:
         "envelope_problems": """
             SELECT 'envelope' AS kind, CAST(0 AS BIGINT) AS n
             UNION ALL SELECT 'extra field', count(*) FROM orders""",
+        "envelope_line_documents": """
+            WITH k AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
+            SELECT problem, document_count FROM (
+              SELECT 'count is not BIGINT' AS problem, count(*) FILTER (WHERE k % 11 = 0)
+                     AS document_count FROM k
+              UNION ALL
+              SELECT 'catalogVersion is missing', count(*) FILTER (WHERE k % 13 = 0) FROM k)
+            WHERE document_count > 0""",
+        "envelope_line_findings": f"""WITH {_LINE_RECORDS},
+            f AS (
+              SELECT 'not an object' AS kind, '' AS field FROM lr WHERE bare
+              UNION ALL SELECT 'missing', 'l_partkey' FROM lr WHERE no_part
+              UNION ALL SELECT 'extra', 'l_comment' FROM lr WHERE has_comment
+              UNION ALL SELECT 'mistyped', 'l_suppkey' FROM lr WHERE bad_supplier
+              UNION ALL SELECT 'mistyped', 'flags' FROM lr WHERE bad_flags)
+            SELECT kind, field, count(*) AS record_count FROM f GROUP BY 1, 2""",
+        "envelope_line_records": f"""WITH {_LINE_RECORDS}
+            SELECT l_orderkey, l_suppkey, l_partkey, l_shipdate, l_returnflag, row_index,
+                   CASE WHEN flag_1 IS NOT NULL
+                        THEN '["' || flag_1 || '","' || flag_2 || '"]' END AS flags,
+                   CASE WHEN bad_supplier AND bad_flags THEN 'flags,l_suppkey'
+                        WHEN bad_supplier THEN 'l_suppkey' WHEN bad_flags THEN 'flags' END
+                     AS mistyped
+            FROM lr""",
+        "tag_long_repeated_ids": f"""WITH {_LINE_RECORDS},
+            p AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS l_shipdate, l_returnflag,
+                         l_suppkey AS vendor_clean, l_partkey AS product_clean, flag_1, flag_2
+                  FROM lr WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL
+                            AND flag_1 IS NOT NULL),
+            e AS (SELECT DISTINCT l_orderkey, unnest([flag_1, flag_2]) AS flag, l_returnflag,
+                         l_shipdate, vendor_clean, product_clean FROM p)
+            SELECT l_orderkey, flag, l_returnflag, l_shipdate, vendor_clean, product_clean
+            FROM e QUALIFY row_number() OVER (PARTITION BY l_orderkey, flag
+                ORDER BY l_shipdate, l_returnflag, vendor_clean, product_clean) = 1""",
+        "guard_findings": f"""WITH {_TAGGED},
+            g AS (
+              SELECT o_orderkey, o_orderdate IS NULL AS a, o_orderstatus IS NULL AS b,
+                     coalesce(o_orderstatus NOT IN ('F', 'O'), false) AS c,
+                     coalesce(added_month < '1995-06' OR added_month > '2000-12', false) AS d,
+                     len(list_filter(string_split(trim(brands, '[]'), ','), lambda x:
+                         x <> '' AND NOT regexp_full_match(x, '"Brand#[0-9]"'))) > 0 AS e
+              FROM shown)
+            SELECT v.guard, count(o_orderkey) AS row_count, min(o_orderkey) AS first_id
+            FROM (VALUES ('opening day missing', 1), ('year missing', 1), ('status missing', 2),
+                         ('status unsupported', 3), ('month outside period', 4),
+                         ('tag list missing', 5), ('tag members invalid', 6)) AS v(guard, i)
+            LEFT JOIN g ON CASE i WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN c WHEN 4 THEN d
+                                  WHEN 5 THEN false ELSE e END
+            GROUP BY 1""",
         "table_fingerprint": _digest_sql("lineitem", {
             **dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "text"),
             **dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "float"),

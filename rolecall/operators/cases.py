@@ -63,11 +63,55 @@ def year_tag_candidates(long: DataFrame, spec: CatalogSpec) -> DataFrame:
     return _ranked(rest, spec, YEAR, spec.tag_label, unique=True)
 
 
+def _leaders_at_once(df: DataFrame, spec: CatalogSpec) -> DataFrame:
+    """The leading candidates of a catalog whose ids are unique, in one scan.
+
+    One row per record and distinct tag (one without a tag) is counted by three grouping sets, summed
+    per task before the shuffle. A record counts by its first row alone where its tags do not matter.
+    """
+    tag = spec.tag_label
+    rows = df.filter(F.col(spec.id).isNotNull()).select(
+        YEAR, VENDOR, F.col(spec.status).alias("_status"),
+        F.posexplode_outer(F.array_distinct(spec.tags)).alias("_place", tag),
+    )
+    is_tagged = F.col(tag).isNotNull()
+    is_first = F.coalesce("_place", F.lit(0)) == 0
+    counted = rows.groupingSets(
+        [(YEAR, VENDOR), (VENDOR, tag), (YEAR, tag)], YEAR, VENDOR, tag
+    ).agg(
+        F.when(F.grouping(tag) == 1, 1).when(F.grouping(YEAR) == 1, 2).otherwise(3).alias("case_id"),
+        F.count_if(is_first & (F.col("_status") == spec.positive_status)).alias("_records"),
+        F.count_if(is_tagged).alias("_tagged"),
+        F.count_if(is_tagged & (F.col("_status") == spec.other_statuses[0])).alias("_rest"),
+    )
+    case = F.col("case_id")
+    count = F.when(case == 1, F.col("_records")).when(case == 2, F.col("_tagged"))
+    named = (
+        ((case == 2) | F.col(YEAR).isNotNull())
+        & ((case == 3) | F.col(VENDOR).isNotNull())
+        & ((case == 1) | F.col(tag).isNotNull())
+    )
+    counted = counted.withColumn("record_count", count.otherwise(F.col("_rest")))
+    # The smallest struct is the largest count, then year, vendor and tag in order.
+    lead = F.struct((-F.col("record_count")).alias("n"), YEAR, VENDOR, F.col(tag).alias("tag"))
+    best = counted.filter(named & (F.col("record_count") > 0)).groupBy("case_id")
+    return best.agg(F.min(lead).alias("b")).select(
+        "case_id", F.col(f"b.{YEAR}").alias("year"), F.col(f"b.{VENDOR}").alias("vendor"),
+        F.col("b.tag").alias("tag"), (-F.col("b.n")).alias("record_count"),
+    )
+
+
 def top_candidates(df: DataFrame, spec: CatalogSpec, unique_ids: bool = False) -> DataFrame:
-    """The leading candidate of each of the three kinds, as one three-row table."""
-    long = long_table(df, spec, unique_ids)
+    """The leading candidate of each of the three kinds, as one three-row table.
+
+    Unique ids are counted in one scan; repeated ones need distinct counts and the first row of
+    each (id, tag), in a branch a kind.
+    """
+    if unique_ids:
+        return _leaders_at_once(df, spec)
+    long = long_table(df, spec)
     picks = [
-        year_vendor_candidates(df, spec, unique_ids).limit(1).select(
+        year_vendor_candidates(df, spec, False).limit(1).select(
             F.lit(1).alias("case_id"), F.col(YEAR).alias("year"), F.col(VENDOR).alias("vendor"),
             F.lit(None).cast("string").alias("tag"), "record_count",
         ),

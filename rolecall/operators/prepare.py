@@ -17,7 +17,7 @@ def _faults(df: DataFrame, spec: CatalogSpec) -> list[tuple[Column, str]]:
     rules = []
     if spec.tags:
         rules.append((F.col(spec.tags).isNull(), f"{spec.tags} is not a list"))
-    for name in (spec.vendor, spec.product):
+    for name in filter(None, (spec.vendor, spec.product)):
         rules.append((F.col(name).isNull(), f"{name} is not a string"))
     days = {name: day(df, name) for name in spec.date_fields}
     for name, value in days.items():
@@ -34,12 +34,9 @@ def _derive(df: DataFrame, spec: CatalogSpec) -> DataFrame:
         for name in spec.raw_fields
     ]
     opened = day(df, spec.opened)
-    columns += [
-        strip(F.col(spec.vendor)).alias(VENDOR),
-        strip(F.col(spec.product)).alias(PRODUCT),
-        year_number(opened).alias(YEAR),
-        month_label(opened).alias(MONTH),
-    ]
+    labels = ((spec.vendor, VENDOR), (spec.product, PRODUCT))
+    columns += [strip(F.col(name)).alias(label) for name, label in labels if name]
+    columns += [year_number(opened).alias(YEAR), month_label(opened).alias(MONTH)]
     if spec.due:
         columns.append(F.datediff(day(df, spec.due), opened).cast("bigint").alias(DAYS))
     if spec.tags:

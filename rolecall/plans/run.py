@@ -17,6 +17,7 @@ from rolecall.operators import (
     cases,
     concentration,
     durations,
+    guards,
     prepare,
     quality,
     status,
@@ -182,7 +183,8 @@ def run_core(spark: SparkSession, config: RunConfig) -> tuple[Publisher, DataFra
             return out, None, digest
         prepared, _ = prepare.prepare(raw, config.spec, mode="fail")
         table = registry(config.spec)[f"{config.spec.name}_prepared"]
-        target = out.write(prepared, table)
+        # The guards of all analyses, counted by the write itself.
+        target = out.write(prepared, table, guards.counts(config.spec), guards.require)
         if config.format == "parquet":
             stored = spark.read.schema(prepared.schema).parquet(target).select(*prepared.columns)
         else:

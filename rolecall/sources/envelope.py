@@ -184,6 +184,15 @@ def check_encoding(spark: SparkSession, path) -> None:
         raise SourceEncoding("input is not UTF-8", path=[r.path for r in broken], **all_of_them)
 
 
+def check_line_encoding(spark: SparkSession, path) -> None:
+    """Refuse line files that hold broken UTF-8. Only input that does not parse is read again."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    bad = lines.filter(~F.is_valid_utf8("value")).select("path").distinct()
+    broken, all_of_them = offenders(bad, "encoding")
+    if broken:
+        raise SourceEncoding("input is not UTF-8", path=[r.path for r in broken], **all_of_them)
+
+
 def check_envelopes(described: DataFrame) -> None:
     """Refuse documents with ``problems``; input that is not JSON anywhere outweighs the rest."""
     bad = described.filter("problems IS NOT NULL").select(SOURCE, "problems")
@@ -246,6 +255,8 @@ def read_envelope(
     )
     if not one_per_line and described.count() < len(docs.inputFiles()):
         raise SourceMalformed("a file holds no document", path=str(path))
+    if one_per_line and not described.filter(F.array_contains("problems", "not JSON")).isEmpty():
+        check_line_encoding(spark, path)
     check_envelopes(described)
     records = checked_records(flatten_records(docs), spec, landing, not one_per_line)
     return Envelope(described.drop("problems"), records)

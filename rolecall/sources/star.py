@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.spec import DAYS, MONTH, PRODUCT, VENDOR, YEAR, CatalogSpec
+from rolecall.operators.prepare import prepare
+from rolecall.spec import PRODUCT, VENDOR, CatalogSpec
 
 ORDERS = CatalogSpec(
     id="o_orderkey",
@@ -107,7 +108,7 @@ def order_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_catalog(
     spark: SparkSession, sf_dir: str, labels: bool = True, tags: bool = True
 ) -> DataFrame:
-    """One row per order; vendor = nation, product = market segment, tags = brands bought."""
+    """One prepared row per order; vendor = nation, product = market segment, tags = brands bought."""
     df = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         "o_custkey",
@@ -115,21 +116,18 @@ def orders_catalog(
         F.col("o_orderdate").cast("date").alias("o_orderdate"),
         "o_orderstatus",
     )
+    spec = ORDERS
     if tags:
         df = df.join(order_brands(spark, sf_dir), "o_orderkey", "left").withColumn(
             "brands", F.coalesce("brands", F.array().cast("array<string>"))
         )
-        df = df.withColumn(ORDERS.has_tags, F.size("brands") > 0).withColumn(
-            ORDERS.tag_count, F.size("brands").cast("bigint")
-        )
+    else:
+        spec = spec.with_options(tags=None)
     if labels:
         df = df.join(_customer_labels(spark, sf_dir), "o_custkey")
-        df = df.withColumn(VENDOR, F.col("n_name")).withColumn(PRODUCT, F.col("c_mktsegment"))
-    return (
-        df.drop("o_custkey")
-        .withColumn(YEAR, F.year("o_orderdate").cast("bigint"))
-        .withColumn(MONTH, F.date_format("o_orderdate", "yyyy-MM"))
-    )
+    else:
+        spec = spec.with_options(vendor=None, product=None)
+    return prepare(df, spec)[0]
 
 
 def lines_catalog(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
@@ -153,12 +151,9 @@ def lines_catalog(spark: SparkSession, sf_dir: str, labels: bool = True) -> Data
 
 
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(added_year, deadline_days) of every line whose due day does not precede its opening."""
-    lines = lines_catalog(spark, sf_dir, labels=False)
-    lines = lines.withColumn(DAYS, F.datediff("l_shipdate", "o_orderdate").cast("bigint"))
-    return lines.filter(F.col(DAYS) >= 0).select(
-        F.year("o_orderdate").cast("bigint").alias(YEAR), DAYS
-    )
+    """Prepared lines without labels: the roles that window statistics read, and no label joins."""
+    spec = LINES.with_options(vendor=None, product=None)
+    return prepare(lines_catalog(spark, sf_dir, labels=False), spec)[0]
 
 
 def documents_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,3 +207,63 @@ def order_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The explode of one document keeps later conditions from repeating the parse.
     doc = F.explode(F.array(F.parse_json(F.to_json(envelope)))).alias("doc")
     return table(spark, sf_dir, "orders").select(F.lit("orders").alias("source_file"), doc)
+
+
+# Order lines as records of an envelope: ids repeat, and some cells and fields break the contract.
+LINE_RECORDS = CatalogSpec(
+    id="l_orderkey",
+    vendor="l_suppkey",
+    product="l_partkey",
+    opened="l_shipdate",
+    status="l_returnflag",
+    status_domain=("A", "R"),
+    positive_status="R",
+    tags="flags",
+    id_label="order",
+    tag_label="flag",
+)
+
+
+def line_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, doc VARIANT): an envelope per order whose records are the order's lines.
+
+    A document is as large as its order. Records stand by line number, part, supplier and price. What
+    breaks the contract follows from the data: line 7 lacks its part, a line without discount has a
+    field too many, small quantities state the supplier as a number, a line without tax its flags as
+    text, and a quantity of 50 makes the record a bare text. Every 11th order key states its count as
+    text, every 13th no version.
+    """
+    text = F.col("l_suppkey").cast("string")
+    supplier = F.when(F.col("l_quantity") < 5, text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    pair = F.to_json(F.array("l_returnflag", "l_linestatus"))
+    flags = F.when(F.col("l_tax") == 0, F.concat(F.lit('"'), "l_returnflag", F.lit('"'))).otherwise(pair)
+    record = F.to_json(
+        F.struct(
+            F.col("l_orderkey").cast("string").alias("l_orderkey"),
+            F.parse_json(supplier).alias("l_suppkey"),
+            F.when(F.col("l_linenumber") != 7, F.col("l_partkey").cast("string")).alias("l_partkey"),
+            F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"),
+            "l_returnflag",
+            F.parse_json(flags).alias("flags"),
+            F.when(F.col("l_discount") == 0, F.lit("full price")).alias("l_comment"),
+        )
+    )
+    record = F.when(F.col("l_quantity") == 50, F.lit('"a full pallet"')).otherwise(record)
+    place = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct(*place, record.alias("rec")))).alias("lines")
+    )
+    count = F.size("lines").cast("string")
+    key = F.col("l_orderkey")
+    doc = F.concat(
+        F.lit('{"title":"order"'),
+        F.when(key % 13 == 0, F.lit("")).otherwise(F.lit(',"catalogVersion":"1"')),
+        F.lit(',"dateReleased":"2024-01-01","count":'),
+        F.when(key % 11 == 0, F.concat(F.lit('"'), count, F.lit('"'))).otherwise(count),
+        F.lit(',"vulnerabilities":['),
+        F.array_join(F.col("lines.rec"), ","),
+        F.lit("]}"),
+    )
+    return grouped.select(
+        F.lit("lines").alias("source_file"), F.explode(F.array(F.parse_json(doc))).alias("doc")
+    )

@@ -105,7 +105,8 @@ class CatalogSpec:
 
     @property
     def derived_fields(self) -> tuple[str, ...]:
-        names = [VENDOR, PRODUCT, YEAR, MONTH]
+        names = [label for role, label in ((self.vendor, VENDOR), (self.product, PRODUCT)) if role]
+        names += [YEAR, MONTH]
         if self.due:
             names.append(DAYS)
         if self.tags:
