@@ -363,6 +363,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "case_candidates": lambda s, d: cases.top_candidates(
             star.orders_catalog(s, d), ORDERS, unique_ids=True
         ),
+        "case_leaders": lambda s, d: cases.leaders(star.orders_catalog(s, d), ORDERS),
         "query_cases_summary": lambda s, d: _cases(s, d).summary,
         "query_cases_rows": lambda s, d: _shown(_cases(s, d).rows),
         # quality and preparation
@@ -762,6 +763,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT brand, count(DISTINCT o_orderkey) AS distinct_order_count
             FROM tl WHERE o_orderkey IN (SELECT o_orderkey FROM f) GROUP BY 1""",
         "case_candidates": f"WITH {_TAGGED}, {_CASES} SELECT * FROM top",
+        "case_leaders": f"WITH {_TAGGED}, {_CASES} SELECT * FROM top",
         "query_cases_summary": f"""WITH {_TAGGED}, {_CASES}
             SELECT c.case_id, c.start_date, c.end_date, c.vendor, c.status, c.tag AS brand,
                    count(h.o_orderkey) AS record_count,

@@ -63,7 +63,7 @@ def year_tag_candidates(long: DataFrame, spec: CatalogSpec) -> DataFrame:
     return _ranked(rest, spec, YEAR, spec.tag_label, unique=True)
 
 
-def _leaders_at_once(df: DataFrame, spec: CatalogSpec) -> DataFrame:
+def leaders(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     """The leading candidates of a catalog whose ids are unique, in one scan.
 
     One row per record and distinct tag (one without a tag) is counted by three grouping sets, summed
@@ -104,14 +104,12 @@ def _leaders_at_once(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 def top_candidates(df: DataFrame, spec: CatalogSpec, unique_ids: bool = False) -> DataFrame:
     """The leading candidate of each of the three kinds, as one three-row table.
 
-    Unique ids are counted in one scan; repeated ones need distinct counts and the first row of
-    each (id, tag), in a branch a kind.
+    Each kind is a branch of its own, as repeated ids need: distinct counts and the first row of each
+    (id, tag). ``leaders`` gives the same for unique ids in one scan.
     """
-    if unique_ids:
-        return _leaders_at_once(df, spec)
-    long = long_table(df, spec)
+    long = long_table(df, spec, unique_ids)
     picks = [
-        year_vendor_candidates(df, spec, False).limit(1).select(
+        year_vendor_candidates(df, spec, unique_ids).limit(1).select(
             F.lit(1).alias("case_id"), F.col(YEAR).alias("year"), F.col(VENDOR).alias("vendor"),
             F.lit(None).cast("string").alias("tag"), "record_count",
         ),
@@ -130,7 +128,8 @@ def top_candidates(df: DataFrame, spec: CatalogSpec, unique_ids: bool = False) -
 def default_cases(df: DataFrame, spec: CatalogSpec, unique_ids: bool = False) -> tuple[dict, ...]:
     """Three reproducible, non-empty cases. Three rows reach the driver, nothing else."""
     require_columns(df, spec.prepared_fields, MissingColumns, "case input")
-    found = {r.case_id: r for r in top_candidates(df, spec, unique_ids).collect()}
+    best = leaders(df, spec) if unique_ids else top_candidates(df, spec)
+    found = {r.case_id: r for r in best.collect()}
     if 1 not in found:
         if df.isEmpty():
             raise RecordMismatch("no records to derive cases from")

@@ -62,7 +62,7 @@ def test_leaders_in_one_scan_equal_those_of_a_branch_a_kind(spark):
             raw_row("CVE-2021-9002", "Ant", opened="2021-07-01", due="2021-07-02",
                     tags=["CWE-502", "CWE-502", None])]
     df = prepared_frame(spark, rows)
-    one = sorted(map(tuple, cases.top_candidates(df, FEED, unique_ids=True).collect()))
+    one = sorted(map(tuple, cases.leaders(df, FEED).collect()))
     three = sorted(map(tuple, cases.top_candidates(df, FEED, unique_ids=False).collect()))
     assert one == three and [r[0] for r in one] == [1, 2, 3]
 
@@ -70,12 +70,12 @@ def test_leaders_in_one_scan_equal_those_of_a_branch_a_kind(spark):
 def test_leaders_read_the_records_once(spark, tmp_path):
     prepared_frame(spark, CATALOG_ROWS).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    plan = cases.top_candidates(df, FEED, unique_ids=True)._jdf.queryExecution().toString()
+    plan = cases.leaders(df, FEED)._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("FileScan") == 1
 
 
 def test_leaders_of_no_records(spark):
-    assert cases.top_candidates(prepared_frame(spark, []), FEED, unique_ids=True).count() == 0
+    assert cases.leaders(prepared_frame(spark, []), FEED).count() == 0
 
 
 def test_broken_bytes_of_line_files_are_an_encoding_error(spark, tmp_path):
