@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rolecall.functions.dates import day
+from rolecall.functions.digest import digest, joined, limb_sums
 from rolecall.functions.hotkeys import keep_members, running_total
 from rolecall.functions.text import (
     WHITESPACE,
@@ -102,3 +103,13 @@ def test_running_total_over_ranges(spark):
         total += r.n
         want[r.name] = total
     assert {r.name: r.total for r in summed.collect()} == want
+
+
+def test_digest_makes_each_text_and_hash_once(spark):
+    rows = [(1, 0.5, "a", [1, None], (None,)), (None, None, None, None, None), (2, float("nan"), "", [], (3.0,))]
+    df = spark.createDataFrame(rows, "k int, x double, `s.t` string, l array<int>, r struct<y: double>")
+    found = digest(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+    assert found.first().fingerprint == joined(df.agg(*limb_sums(df)).first())
+    assert {r.k: r.row_count for r in digest(df, "k").collect()} == {1: 1, 2: 1, None: 1}
