@@ -59,6 +59,27 @@ def test_nearest_of_few_and_none(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") >= 0).count() == 0
 
 
+def test_a_search_carries_only_its_pool(spark, monkeypatch):
+    kept, stored = [], ann.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name == "search":
+            kept.append(out)
+        return out
+
+    monkeypatch.setattr(ann, "stored", watched)
+    monkeypatch.setattr(ann, "POOL", 25)
+    m = np.random.default_rng(5).normal(size=(900, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    assert ann.nearest(df, F.col("vec_id") % 20 == 0).count() == 45 * 20
+    assert len(kept) > 2
+    for state in kept:  # names, scores and marks of twice the pool's 42 nodes, whatever has been scored
+        size = sum(F.octet_length(c) for c, kind in state.dtypes if kind == "binary" and c != "half")
+        most = state.agg(F.max(size)).first()[0] or 0
+        assert most <= 84 * 12 + 11
+
+
 def test_archives_give_every_page_back(spark):
     tricky = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(5, "http://a/", "same"), (3, "http://b/", "same"), (9, "http://c/\r\nX: y", "same"), (1, None, None), (2, "u", ""),
