@@ -224,6 +224,15 @@ LINE_RECORDS = CatalogSpec(
 )
 
 
+def _quoted(name: str):
+    """A text as JSON, null as ``null``; only text with characters to escape goes through a JSON writer."""
+    c = F.col(name)
+    written = F.to_json(F.array(c))
+    escaped = F.substring(written, F.lit(2), F.length(written) - 2)
+    plain = F.concat(F.lit('"'), c, F.lit('"'))
+    return F.when(c.isNull(), F.lit("null")).when(c.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(plain)
+
+
 def line_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, doc VARIANT): an envelope per order whose records are the order's lines.
 
@@ -235,24 +244,26 @@ def line_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     text = F.col("l_suppkey").cast("string")
     supplier = F.when(F.col("l_quantity") < 5, text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
-    pair = F.to_json(F.array("l_returnflag", "l_linestatus"))
+    pair = F.concat(F.lit("["), _quoted("l_returnflag"), F.lit(","), _quoted("l_linestatus"), F.lit("]"))
     flags = F.when(F.col("l_tax") == 0, F.concat(F.lit('"'), "l_returnflag", F.lit('"'))).otherwise(pair)
-    record = F.to_json(
-        F.struct(
-            F.col("l_orderkey").cast("string").alias("l_orderkey"),
-            F.parse_json(supplier).alias("l_suppkey"),
-            F.when(F.col("l_linenumber") != 7, F.col("l_partkey").cast("string")).alias("l_partkey"),
-            F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"),
-            "l_returnflag",
-            F.parse_json(flags).alias("flags"),
-            F.when(F.col("l_discount") == 0, F.lit("full price")).alias("l_comment"),
-        )
-    )
+    part = F.when(F.col("l_linenumber") != 7, F.col("l_partkey").cast("string"))
+    cells = {
+        "l_orderkey": F.concat(F.lit('"'), F.col("l_orderkey").cast("string"), F.lit('"')),
+        "l_suppkey": supplier,
+        "l_partkey": F.concat(F.lit('"'), part, F.lit('"')),
+        "l_shipdate": F.concat(F.lit('"'), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit('"')),
+        "l_returnflag": F.when(F.col("l_returnflag").isNotNull(), _quoted("l_returnflag")),
+        "flags": flags,
+        "l_comment": F.when(F.col("l_discount") == 0, F.lit('"full price"')),
+    }
+    # Null cells are left out, as concat_ws does.
+    fields = F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), cell) for name, cell in cells.items()])
+    record = F.concat(F.lit("{"), fields, F.lit("}"))
     record = F.when(F.col("l_quantity") == 50, F.lit('"a full pallet"')).otherwise(record)
     place = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(*place, record.alias("rec")))).alias("lines")
-    )
+    # Written before the aggregate, whose own arguments would be interpreted.
+    written = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*place, record.alias("rec")).alias("line"))
+    grouped = written.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     count = F.size("lines").cast("string")
     key = F.col("l_orderkey")
     doc = F.concat(
